@@ -12,6 +12,7 @@ from dataclasses import dataclass
 from typing import Protocol
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -202,10 +203,12 @@ def leaf_path(root: str, config: str, source: str, variant: str, assessment: str
 
 
 def _stored(spark: SparkSession, path: str) -> DataFrame | None:
-    files = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if not files.getFileSystem(spark._jsc.hadoopConfiguration()).exists(files):
-        return None
-    return spark.read.option("pathGlobFilter", "*.parquet").parquet(path)
+    try:
+        return spark.read.schema(EMBEDDING_SCHEMA).option("pathGlobFilter", "*.parquet").parquet(path)
+    except AnalysisException as error:
+        if error.getCondition() == "PATH_NOT_FOUND":
+            return None
+        raise
 
 
 def embed_works(

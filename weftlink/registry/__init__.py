@@ -1 +1,6 @@
+"""All registered queries."""
 
+from weftlink.registry import linkage  # noqa: F401
+from weftlink.registry.base import QUERIES
+
+__all__ = ["QUERIES"]
