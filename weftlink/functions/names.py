@@ -22,7 +22,7 @@ QUALIFIERS = (
     r"based\s+on", r"adapted\s+from", r"modified\s+from", r"following\s+the\s+work\s+of",
 )
 LETTERS_WITHOUT_DECOMPOSITION = {"ø": "o", "Ø": "O", "ł": "l", "Ł": "L", "đ": "d", "Đ": "D", "ı": "i"}
-LETTER_PAIRS = {"ß": "ss", "æ": "ae", "Æ": "AE", "œ": "oe", "Œ": "OE"}
+LETTER_PAIRS = {"ß": "ss", "ẞ": "SS", "æ": "ae", "Æ": "AE", "œ": "oe", "Œ": "OE"}
 INITIALS = r"^(?:[A-Z]\.?|(?:[A-Z]\.){1,3})$"
 # -------------------------------------------------------------------------------------------
 
@@ -40,7 +40,13 @@ def _latin_letters() -> tuple[str, str]:
 
 ACCENTED, UNACCENTED = _latin_letters()
 PARTICLE_ALTERNATIVES = "|".join(PARTICLES)
-LEADING_QUALIFIERS = r"(?i)^(?:[\s.,:;]+|(?:" + "|".join(QUALIFIERS) + r")\b)*"
+ASCII_BOUNDARY = r"(?:(?<=\w)(?!\w)|(?<!\w)(?=\w))"  # \b also counts accented letters in Java
+
+
+def leading_qualifiers(boundary: str = ASCII_BOUNDARY) -> str:
+    return r"(?i)^(?:[\s.,:;]+|(?:" + "|".join(QUALIFIERS) + rf"){boundary})*"
+
+
 AFTER_FIRST_AUTHOR = r"(?s)\s*(?:&|,| and | et al\.?).*$"
 SURNAME_WITH_PARTICLES = rf"(?i)^(?:(?:{PARTICLE_ALTERNATIVES})\s)*\S+"
 ONLY_PARTICLES = rf"(?i)^(?:(?:{PARTICLE_ALTERNATIVES})\s)*(?:{PARTICLE_ALTERNATIVES})$"
@@ -59,7 +65,7 @@ def author_key(c: Column) -> Column:
 
 
 def strip_qualifiers(c: Column) -> Column:
-    return F.regexp_replace(c, LEADING_QUALIFIERS, "")
+    return F.regexp_replace(c, leading_qualifiers(), "")
 
 
 def name_tokens(c: Column) -> Column:
