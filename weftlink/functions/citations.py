@@ -5,21 +5,30 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from weftlink.functions.names import PARTICLE_ALTERNATIVES, surname_key
+from weftlink.functions.names import PARTICLE_ALTERNATIVES, PARTICLES, surname_key
 from weftlink.functions.text import trim_ws
 
 # ---- fixed values -------------------------------------------------------------------------
 YEAR = "(1[6-9][0-9]{2}|20[0-9]{2})[a-z]?"
-NAME = rf"(?:(?:{PARTICLE_ALTERNATIVES})\s+)*[A-Z][A-Za-z'’.-]+"
-NARRATIVE = (
-    rf"({NAME}(?:\s+(?:et\s+al\.?|&|and)\s+{NAME})*(?:\s+et\s+al\.?)?)"
-    rf"\s*\(\s*{YEAR}\s*\)"
-)
 PARENTHESIS = r"\([^()]*\)"
 YEAR_PARENTHESIS = rf"\([^()]*{YEAR}[^()]*\)"
 # -------------------------------------------------------------------------------------------
 
 
+def narrative_pattern(lead: str = "", repeat: str = "+") -> str:
+    """Capitalised names, joined by &, and or et al, before a parenthesised year.
+
+    ``lead`` and ``repeat`` do not change what matches, only how fast other places are given up.
+    """
+    name = rf"(?:(?:{PARTICLE_ALTERNATIVES})\s+)*[A-Z][A-Za-z'’.-]{repeat}"
+    joined = rf"{name}(?:\s+(?:et\s+al\.?|&|and)\s+{name})*(?:\s+et\s+al\.?)?"
+    return rf"{lead}({joined})\s*\(\s*{YEAR}\s*\)"
+
+
+# A match starts with a capital or with the first letter of a particle, and a name is never cut short.
+NARRATIVE = narrative_pattern(lead="(?=[A-Z" + "".join(sorted({p[0] for p in PARTICLES})) + "])", repeat="++")
+
+
 def _citation(raw: Column, key: Column, year: Column) -> Column:
     return F.struct(raw.alias("raw"), key.alias("author_key"), year.cast("int").alias("year"))
 

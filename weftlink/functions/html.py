@@ -7,6 +7,7 @@ from html.parser import HTMLParser
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from weftlink.functions.text import blank_to_null, squish, strip_abstract_prefix, strip_latex
 
@@ -32,7 +33,7 @@ def _to_text(markup: str) -> str:
     return "".join(parser.parts)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def html_to_text(markup: pd.Series) -> pd.Series:
     """All text nodes in document order. Spark has no HTML parser, so this one step leaves the JVM."""
     return markup.map(_to_text, na_action="ignore")

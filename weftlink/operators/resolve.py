@@ -22,7 +22,9 @@ LOOSE_YEAR_WINDOW = 1
 def extract_citations(definitions: DataFrame, text: str = "abstract_raw") -> DataFrame:
     """One row per citation token of each definition, numbered in order from 1."""
     found = definitions.select("keyset", "id", "source_id", find_citations(F.col(text)).alias("found"))
-    return found.select("keyset", "id", "source_id", F.posexplode("found").alias("pos", "c")).select(
+    # the outer form: a plain explode would filter on the array first and parse every text again
+    rows = found.select("keyset", "id", "source_id", F.posexplode_outer("found").alias("pos", "c"))
+    return rows.filter("pos is not null").select(
         "keyset",
         F.col("id").alias("keypaper_id"),
         "source_id",

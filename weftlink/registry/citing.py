@@ -6,7 +6,13 @@ of its own words; the whole text is then searched.
 
 from pyspark.sql import functions as F
 
-from weftlink.functions.citations import NARRATIVE, PARENTHESIS, YEAR, YEAR_PARENTHESIS, strip_citations
+from weftlink.functions.citations import (
+    PARENTHESIS,
+    YEAR,
+    YEAR_PARENTHESIS,
+    narrative_pattern,
+    strip_citations,
+)
 from weftlink.functions.names import (
     ACCENTED,
     AFTER_FIRST_AUTHOR,
@@ -29,6 +35,7 @@ from weftlink.operators.resolve import (
     strict_matches,
 )
 from weftlink.registry.base import literal, query, table
+from weftlink.session import cut_lineage
 
 WORD = "[A-Za-zÀ-ÿ]+"
 
@@ -107,10 +114,10 @@ def surname_sql(source: str, phrase: str, out: str = "author_key") -> str:
 
 EXTRACTED = f"""{DOCS},
   found_n AS (
-    SELECT keyset, id, source_id, unnest(regexp_extract_all(abstract_raw, {literal(NARRATIVE)})) AS raw,
-           unnest(regexp_extract_all(abstract_raw, {literal(NARRATIVE)}, 1)) AS phrase,
-           unnest(regexp_extract_all(abstract_raw, {literal(NARRATIVE)}, 2)) AS year,
-           generate_subscripts(regexp_extract_all(abstract_raw, {literal(NARRATIVE)}), 1) AS g, 0 AS c, 0 AS y
+    SELECT keyset, id, source_id, unnest(regexp_extract_all(abstract_raw, {literal(narrative_pattern())})) AS raw,
+           unnest(regexp_extract_all(abstract_raw, {literal(narrative_pattern())}, 1)) AS phrase,
+           unnest(regexp_extract_all(abstract_raw, {literal(narrative_pattern())}, 2)) AS year,
+           generate_subscripts(regexp_extract_all(abstract_raw, {literal(narrative_pattern())}), 1) AS g, 0 AS c, 0 AS y
     FROM citing),
   groups AS (
     SELECT keyset, id, source_id, unnest(gs) AS raw, generate_subscripts(gs, 1) AS g
@@ -221,14 +228,18 @@ def corpus(spark, sf_dir):
 
 
 def index(spark, sf_dir):
-    return reference_index(
-        library_items(spark, sf_dir), known_ids(spark, sf_dir), corpus(spark, sf_dir), ["doc_id"], ["id"]
+    # a stored table, as every pass reads it
+    return cut_lineage(
+        reference_index(
+            library_items(spark, sf_dir), known_ids(spark, sf_dir), corpus(spark, sf_dir), ["doc_id"], ["id"]
+        )
     )
 
 
 def citations(spark, sf_dir):
     assessment = assessment_of(F.col("keyset"), {"en": "first"}, "second")
-    return extract_citations(citing_documents(spark, sf_dir)).withColumn("assessment", assessment)
+    # a stored table, so no pass parses the texts again
+    return cut_lineage(extract_citations(citing_documents(spark, sf_dir)).withColumn("assessment", assessment))
 
 
 INDEX = f"""{EXTRACTED},

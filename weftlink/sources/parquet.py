@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftlink.operators.checks import require_same_count
@@ -35,7 +35,7 @@ def with_row_order(df: DataFrame) -> DataFrame:
     return df.withColumns({"file_path": F.col("_metadata.file_path"), "row_index": F.col("_metadata.row_index")})
 
 
-def shard_number(file_name) -> F.Column:
+def shard_number(file_name: Column) -> Column:
     """The number at the end of a shard's file name, NULL when it has none."""
     return F.nullif(F.regexp_extract(file_name, SHARD_NUMBER, 1), F.lit("")).try_cast("int")
 
