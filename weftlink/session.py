@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(master: str | None = None, app_name: str = "weftlink", **conf: str) -> SparkSession:
@@ -57,7 +57,11 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return os.path.join(shared_dir(spark), f"{name}-{uuid.uuid4().hex}")
 
 
-def cut_lineage(df):
-    """Materialise a DataFrame in reliable shared storage, so later reads see one fixed result."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Write a DataFrame to the shared folder and read it back: one fixed result, computed once.
+
+    A written table outlives lost executors, is read by column, and tells the optimizer its size.
+    """
+    path = scratch_path(df.sparkSession, "stage")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
