@@ -39,6 +39,10 @@ def html_to_text(markup: pd.Series) -> pd.Series:
     return markup.map(_to_text, na_action="ignore")
 
 
+# Equal input gives equal text; the mark keeps a filter on the result from parsing every page twice.
+html_to_text = html_to_text.asNondeterministic()
+
+
 def finish_clean(plain: Column, drop_prefix: bool = False) -> Column:
     """The steps after markup removal; no text left gives NULL."""
     body = strip_abstract_prefix(plain) if drop_prefix else plain

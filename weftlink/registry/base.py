@@ -8,6 +8,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from weftlink.sources.parquet import spread
+
 
 @dataclass(frozen=True)
 class Query:
@@ -30,6 +32,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def texts(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table whose rows are long texts."""
+    return spread(table(spark, sf_dir, name))
+
+
 def definitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``id, keyset, embedding`` of every vector."""
     return table(spark, sf_dir, "embeddings").select(

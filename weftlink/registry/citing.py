@@ -34,7 +34,7 @@ from weftlink.operators.resolve import (
     resolve_citations,
     strict_matches,
 )
-from weftlink.registry.base import literal, query, table
+from weftlink.registry.base import literal, query, table, texts
 from weftlink.session import cut_lineage
 
 WORD = "[A-Za-zÀ-ÿ]+"
@@ -47,7 +47,7 @@ def _name(words, i: int):
 
 def named_documents(spark, sf_dir):
     """Documents with four names from their words and two years."""
-    docs = table(spark, sf_dir, "documents")
+    docs = texts(spark, sf_dir, "documents")
     words = F.regexp_extract_all("text", F.lit(WORD), F.lit(0))
     return docs.withColumn("words", words).select(
         "doc_id", "text", "lang", "source",

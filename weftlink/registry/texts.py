@@ -6,7 +6,7 @@ from weftlink.functions import text as T
 from weftlink.functions.html import clean_abstract, clean_title, finish_clean, html_to_text
 from weftlink.operators.definitions import SheetMap, definition_meta, definition_summary, prepare_definitions
 from weftlink.operators.embedding import HashBackend, embed_texts, title_abstract_text
-from weftlink.registry.base import query, table
+from weftlink.registry.base import query, table, texts
 
 SPACES = r"[\s\p{Z}]+"
 TRIM = "E' \\t\\r\\n'"
@@ -43,12 +43,12 @@ PAGE_TEXT = r"""
 
 @query("html_text", f"WITH {PAGE_TEXT} SELECT page_id, plain FROM page_text")
 def html_text(spark, sf_dir):
-    return table(spark, sf_dir, "pages").select("page_id", html_to_text("html").alias("plain"))
+    return texts(spark, sf_dir, "pages").select("page_id", html_to_text("html").alias("plain"))
 
 
 @query("clean_html_text", f"WITH {PAGE_TEXT} SELECT page_id, {squish_sql(latex_sql('plain'))} AS title_clean FROM page_text")
 def clean_html_text(spark, sf_dir):
-    return table(spark, sf_dir, "pages").select("page_id", clean_title(F.col("html")).alias("title_clean"))
+    return texts(spark, sf_dir, "pages").select("page_id", clean_title(F.col("html")).alias("title_clean"))
 
 
 LATEX_TEXT = (
@@ -64,13 +64,13 @@ LATEX_TEXT = (
 def latex_and_prefix_clean(spark, sf_dir):
     lead = F.when(F.col("lang") == "en", F.lit("Abstract: ")).when(F.col("lang") == "fr", F.lit("SUMMARY — ")).otherwise("")
     raw = F.concat(lead, F.lit("\\emph{"), F.col("source"), F.lit("} $x_1$ \\alpha "), F.col("text"))
-    return table(spark, sf_dir, "documents").select("doc_id", finish_clean(raw, drop_prefix=True).alias("abstract_clean"))
+    return texts(spark, sf_dir, "documents").select("doc_id", finish_clean(raw, drop_prefix=True).alias("abstract_clean"))
 
 
 # ---- definitions from two sheets ----------------------------------------------------------
 def sheets(spark, sf_dir):
     """Documents and benchmark items as two worksheets with different columns."""
-    docs = table(spark, sf_dir, "documents").select(
+    docs = texts(spark, sf_dir, "documents").select(
         F.col("doc_id").cast("string").alias("ID"),
         F.regexp_extract("text", r"^[^\n]*", 0).alias("Heading"),
         F.col("text").alias("Wording"),
@@ -159,7 +159,7 @@ def labels_with_fallback(spark, sf_dir):
       len(list_filter(string_split_regex(trim(text, E' \t\r\n'), '\s+'), lambda w: w <> '')) AS words FROM documents""",
 )
 def token_estimates(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select(
+    return texts(spark, sf_dir, "documents").select(
         "doc_id", T.estimate_tokens(F.col("text")).alias("tokens"), T.count_words(F.col("text")).alias("words")
     )
 
@@ -170,7 +170,7 @@ def token_estimates(spark, sf_dir):
 )
 def translate_quotes(spark, sf_dir):
     quoted = F.concat(F.lit("“"), "text", F.lit("” – ‘"), "source", F.lit("’ — end"))
-    return table(spark, sf_dir, "documents").select("doc_id", T.ascii_punctuation(quoted).alias("plain"))
+    return texts(spark, sf_dir, "documents").select("doc_id", T.ascii_punctuation(quoted).alias("plain"))
 
 
 @query(
@@ -185,7 +185,7 @@ def axis_label_suffix(spark, sf_dir):
 
 # ---- embedding texts ----------------------------------------------------------------------
 def titled(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select(
+    return texts(spark, sf_dir, "documents").select(
         F.col("doc_id").cast("string").alias("id"), F.regexp_extract("text", r"^[^\n]*", 0).alias("title"),
         F.col("text").alias("abstract"),
     )
@@ -222,8 +222,8 @@ def _byte_sql(i: int) -> str:
     + " FROM texts",
 )
 def embed_with_test_backend(spark, sf_dir):
-    texts = title_abstract_text(titled(spark, sf_dir), separator="", title_cap=200)
-    vectors = embed_texts(texts, HashBackend(width=4))
+    prepared = title_abstract_text(titled(spark, sf_dir), separator="", title_cap=200)
+    vectors = embed_texts(prepared, HashBackend(width=4))
     return vectors.select("id", "provider", "model_id", *[F.get("embedding", i).alias(f"v{i + 1}") for i in range(4)])
 
 
@@ -233,4 +233,4 @@ def embed_with_test_backend(spark, sf_dir):
     FROM documents""",
 )
 def html_escaped(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", T.html_escape(F.col("text")).alias("safe"))
+    return texts(spark, sf_dir, "documents").select("doc_id", T.html_escape(F.col("text")).alias("safe"))

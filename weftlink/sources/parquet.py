@@ -26,6 +26,15 @@ def read_tree(spark: SparkSession, path: str, columns: list[str] | None = None,
     return df.select(*columns) if columns else df
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """For work that is heavy per row: a scan with fewer splits than cores is dealt out over all cores.
+
+    Large inputs have more splits than that and are left alone. ``df`` is a plain scan.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def with_file_name(df: DataFrame, name: str = "file_name") -> DataFrame:
     return df.withColumn(name, F.col("_metadata.file_name"))
 
