@@ -55,8 +55,5 @@ def level_counts(df: DataFrame, column: str, levels: list[str]) -> DataFrame:
     """Frequency of each level in the order given, levels that never occur included."""
     spark = df.sparkSession
     order = spark.createDataFrame([(i, v) for i, v in enumerate(levels)], f"level_order int, {column} string")
-    return (
-        F.broadcast(order)  # one row per level named by the caller
-        .join(df.groupBy(column).agg(F.count("*").alias("n")), column, "left")
-        .select("level_order", column, F.coalesce("n", F.lit(0)).alias("n"))
-    )
+    counts = df.groupBy(column).agg(F.count("*").alias("n"))
+    return order.join(counts, column, "left").select("level_order", column, F.coalesce("n", F.lit(0)).alias("n"))
