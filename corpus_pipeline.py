@@ -4,18 +4,32 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from weftlink.llm.common import share
+from weftlink.llm.language import fit_languages, known_language
 from weftlink.llm.packing import pack_documents
+from weftlink.llm.toxicity import fit_toxicity, without_toxic
 from weftlink.session import cut_lineage
 
 
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that score under the threshold; learnt from the labels of two thirds of them."""
+    model = fit_toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), share("doc_id", 3) != 1)
+    return without_toxic(docs, model)
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in reach of a language learnt from three quarters of them."""
+    return known_language(docs, fit_languages(docs, share("doc_id", 4) != 2))
+
+
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every kept document's pieces, each with its sequence and place there."""
     return pack_documents(docs)
 
 
-STAGES = [("best_fit_packing", best_fit_packing)]
+STAGES = [("toxicity", toxicity), ("language", language), ("best_fit_packing", best_fit_packing)]
 
-#: Tokenising and packing have no form in SQL; tests/llm compares the stages with brute force.
+#: Tokens, phrases and fitted models have no form in SQL; tests/llm compares the stages with brute force.
 ORACLE_SQL = None
 
 

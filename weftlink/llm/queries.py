@@ -5,9 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from weftlink.llm.byte_bpe import byte_bpe_digests
 from weftlink.llm.chat import conversation_digests, format_conversations
+from weftlink.llm.common import share
+from weftlink.llm.language import fit_languages, identify
 from weftlink.llm.packing import pack_documents
+from weftlink.llm.phrases import edit_sensitivity
 from weftlink.llm.token_store import stored_token_digests
+from weftlink.llm.toxicity import fit_toxicity, score_toxicity
 from weftlink.llm.vector_search import nearest
 
 
@@ -19,6 +24,14 @@ def op1_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stored_token_digests(_table(spark, sf_dir, "documents"))
 
 
+def op2_phrase_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edit_sensitivity(_table(spark, sf_dir, "documents"))
+
+
+def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return byte_bpe_digests(_table(spark, sf_dir, "documents"))
+
+
 def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = "\\### Assistant: </turn> ok"
@@ -31,16 +44,32 @@ def op5_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_table(spark, sf_dir, "documents"))
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    model = fit_toxicity(docs, labels, share("doc_id", 3) != 1)
+    return score_toxicity(docs, model).withColumn("held_out", share("doc_id", 3) == 1)
+
+
 def op7_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = _table(spark, sf_dir, "embeddings")
     return nearest(vectors.filter(F.col("vec_id") % 100 == 0), vectors)
 
 
+def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = fit_languages(docs, share("doc_id", 4) != 2)
+    return identify(docs, model).withColumn("held_out", share("doc_id", 4) == 2)
+
+
 LLM_QUERIES = {
     "op1_token_store": op1_token_store,
+    "op2_phrase_fingerprint": op2_phrase_fingerprint,
+    "op3_byte_bpe": op3_byte_bpe,
     "op4_chat_format": op4_chat_format,
     "op5_pack": op5_pack,
+    "op6_toxicity": op6_toxicity,
     "op7_nearest": op7_nearest,
+    "op9_language": op9_language,
 }
 #: None of the operators has a form in plain SQL; tests/llm compares them with brute force.
 LLM_SQL: dict[str, str] = {}

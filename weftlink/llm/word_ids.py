@@ -8,11 +8,12 @@ import unicodedata
 
 import numpy as np
 import public_tokenizers
-from tokenizers import Tokenizer
+from tokenizers import Tokenizer, pre_tokenizers
 
 WORD_FILE = public_tokenizers.path("word_bpe_49k.json")
-#: Words kept in a worker's memo; above it the memo starts anew. A bound on memory, it changes no result.
-MEMO_WORDS = 400_000
+#: Words kept in a worker's memo; above it the memo starts anew with the words at hand. A bound on memory, it
+#: changes no result.
+MEMO_WORDS = 800_000
 _CONTROL = re.compile("[\x00-\x08\x0b\x0c\x0e-\x1f\x7f-\x9f]")
 
 
@@ -20,62 +21,89 @@ class WordEncoder:
     """Encodes as ``Tokenizer.encode(text, add_special_tokens=False)`` does, word by word.
 
     The tokenizer turns runs of white space into gaps between its pieces, so a text's ids are its words' ids in
-    order, and a word need be encoded once. Words not yet known go to the library together, kept apart by a
-    special token. Texts with control characters or with the text of a special token go to it whole.
+    order, and a word need be encoded once. Words not yet known go to the library together. Texts with control
+    characters or with the text of a special token go to it whole.
     """
 
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
         special = [t for t in self.tokenizer.get_added_tokens_decoder().items() if t[1].special]
-        self.end_id, self.end = special[-1][0], special[-1][1].content
-        self.whole = re.compile("|".join([_CONTROL.pattern, *(re.escape(t.content) for _, t in special)]))
-        size = self.tokenizer.get_vocab_size()
-        self.dtype = np.dtype("<u2" if size <= 1 << 16 else "<u4")
+        self.special = [token.content for _, token in special]
+        self.end_id = special[-1][0]
+        vocabulary = self.tokenizer.get_vocab()
+        self.dtype = np.dtype("<u2" if max(vocabulary.values()) < 1 << 16 else "<u4")
+        # for words of letters in lower case only, the model alone: a word is one piece, and its last id says so
+        self.letters = Tokenizer(self.tokenizer.model)
+        self.letters.pre_tokenizer = pre_tokenizers.Sequence(
+            [pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)]
+        )
+        self.ends_word = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.ends_word[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
         self.memo: dict[str, bytes] = {}
 
-    def _library(self, words: list[str]) -> list[bytes]:
-        ids = np.array(self.tokenizer.encode(self.end.join(words), add_special_tokens=False).ids, dtype=self.dtype)
-        ends = np.flatnonzero(ids == self.end_id) * self.dtype.itemsize
-        raw = ids.tobytes()
-        starts = [0, *(ends + self.dtype.itemsize).tolist()]
-        return [raw[a:b] for a, b in zip(starts, [*ends.tolist(), len(raw)], strict=True)]
+    def _cut(self, ids: list[int], ends: np.ndarray, gap: int) -> list[bytes]:
+        width = self.dtype.itemsize
+        raw = np.array(ids, dtype=self.dtype).tobytes()
+        stops = (ends * width).tolist()
+        starts = [0, *((ends + gap) * width).tolist()]
+        return [raw[a:b] for a, b in zip(starts, stops, strict=False)]
 
-    def _learn(self, words: set[str]) -> None:
+    def _letter_words(self, words: list[str]) -> list[bytes]:
+        ids = self.letters.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids
+        return self._cut(ids, np.flatnonzero(self.ends_word[ids]) + 1, 0)
+
+    def _any_words(self, words: list[str]) -> list[bytes]:
+        joined = "".join(w + self.special[-1] for w in words)
+        ids = self.tokenizer.encode_batch_fast([joined], add_special_tokens=False)[0].ids
+        return self._cut(ids, np.flatnonzero(np.array(ids) == self.end_id), 1)
+
+    def _learn(self, words: set[str], lower: bool) -> None:
         memo = self.memo
-        if len(memo) + len(words) > MEMO_WORDS:
-            memo.clear()
         new = words.difference(memo)
         if not new:
             return
+        if len(memo) + len(new) > MEMO_WORDS:
+            self.memo = memo = {w: memo[w] for w in words if w in memo}
         # a full stop or comma after a letter is a piece of its own
         marked = {w for w in new if w[-1] in ".," and w[-2:-1].isalpha()}
         ask = new - marked
         ask.update(w[:-1] for w in marked if w[:-1] not in memo)
         ask.update(m for m in ".," if m not in memo)
-        ordered = list(ask)
-        memo.update(zip(ordered, self._library(ordered), strict=True))
+        letters = [w for w in ask if lower and w.isalpha()]
+        others = list(ask.difference(letters))
+        for ordered, made in ((letters, self._letter_words), (others, self._any_words)):
+            if ordered:
+                memo.update(zip(ordered, made(ordered), strict=True))
         memo.update([(w, memo[w[:-1]] + memo[w[-1]]) for w in marked])
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian integers of ``dtype``."""
-        split: list[list[str] | None] = []
-        for text in texts:
-            if self.whole.search(text):
-                split.append(None)
+        lower: list[list[str] | None] = []
+        others: dict[int, list[str]] = {}
+        for i, text in enumerate(texts):
+            if _CONTROL.search(text) or any(s in text for s in self.special):
+                lower.append(None)
                 continue
             low = text.lower()
-            plain = text.isascii() or (
+            if text.isascii() or (
                 "Σ" not in text and unicodedata.is_normalized("NFC", text) and unicodedata.is_normalized("NFC", low)
-            )
-            split.append((low if plain else text).split())
-        self._learn(set().union(*(w for w in split if w)))
+            ):
+                lower.append(low.split())
+            else:
+                lower.append(None)
+                others[i] = text.split()
+        self._learn(set().union(*(w for w in lower if w)), True)
         known = self.memo.__getitem__
-        return [
-            np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=self.dtype).tobytes()
-            if words is None
-            else b"".join(map(known, words))
-            for text, words in zip(texts, split, strict=True)
-        ]
+        out = [None if words is None else b"".join(map(known, words)) for words in lower]
+        if others:
+            self._learn(set().union(*others.values()), False)
+        for i, raw in enumerate(out):
+            if raw is None and i in others:
+                out[i] = b"".join(map(self.memo.__getitem__, others[i]))
+            elif raw is None:
+                ids = self.tokenizer.encode(texts[i], add_special_tokens=False).ids
+                out[i] = np.array(ids, dtype=self.dtype).tobytes()
+        return out
 
 
 @functools.lru_cache(maxsize=2)
