@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from weftlink.llm.byte_bpe import byte_bpe_digests
 from weftlink.llm.chat import conversation_digests, format_conversations
+from weftlink.llm.class_lm import fit_class_model, score_texts
 from weftlink.llm.common import share
 from weftlink.llm.language import fit_languages, identify
 from weftlink.llm.packing import pack_documents
@@ -55,6 +56,12 @@ def op7_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(vectors.filter(F.col("vec_id") % 100 == 0), vectors)
 
 
+def op8_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = fit_class_model(docs, share("doc_id", 5) != 1)
+    return score_texts(docs, model).withColumn("held_out", share("doc_id", 5) == 1)
+
+
 def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     model = fit_languages(docs, share("doc_id", 4) != 2)
@@ -69,6 +76,7 @@ LLM_QUERIES = {
     "op5_pack": op5_pack,
     "op6_toxicity": op6_toxicity,
     "op7_nearest": op7_nearest,
+    "op8_class_lm": op8_class_lm,
     "op9_language": op9_language,
 }
 #: None of the operators has a form in plain SQL; tests/llm compares them with brute force.
