@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from weftlink.llm.common import share
 from weftlink.llm.language import fit_languages, known_language
+from weftlink.llm.ngram_join import one_of_each_class
 from weftlink.llm.packing import pack_documents
 from weftlink.llm.toxicity import fit_toxicity, without_toxic
 from weftlink.session import cut_lineage
@@ -22,12 +23,17 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return known_language(docs, fit_languages(docs, share("doc_id", 4) != 2))
 
 
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of texts that share five-word shingles at a similarity of 0.8 or more."""
+    return one_of_each_class(docs)
+
+
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every kept document's pieces, each with its sequence and place there."""
     return pack_documents(docs)
 
 
-STAGES = [("toxicity", toxicity), ("language", language), ("best_fit_packing", best_fit_packing)]
+STAGES = [("toxicity", toxicity), ("language", language), ("near_copies", near_copies), ("best_fit_packing", best_fit_packing)]
 
 #: Tokens, phrases and fitted models have no form in SQL; tests/llm compares the stages with brute force.
 ORACLE_SQL = None

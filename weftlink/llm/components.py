@@ -1,0 +1,27 @@
+"""Connected components of large edge tables."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from weftlink.session import cut_lineage
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """``v, root``: for each vertex of the edges ``a, b`` the smallest vertex it is connected with.
+
+    Each round takes the smallest root among the neighbours and then the root of that root, so the number of rounds
+    grows with the logarithm of a component's width. Rounds are written, none is held on the driver.
+    """
+    both = cut_lineage(edges.select("a", "b").union(edges.select("b", "a")).filter("a != b").distinct())
+    roots = cut_lineage(both.groupBy(F.col("a").alias("v")).agg(F.least(F.min("b"), F.min("a")).alias("root")))
+    while True:
+        near = both.join(roots.select(F.col("v").alias("b"), "root"), "b").groupBy(F.col("a").alias("v")).agg(F.min("root").alias("near"))
+        lower = roots.join(near, "v").select("v", F.col("root").alias("was"), F.least("root", "near").alias("root"))
+        jump = roots.select(F.col("v").alias("root"), F.col("root").alias("further"))
+        new = cut_lineage(lower.join(jump, "root", "left").select("v", "was", F.least("root", F.coalesce("further", "root")).alias("root")))
+        moved = new.filter("root != was").limit(1).count()
+        roots = new.select("v", "root")
+        if not moved:
+            return roots

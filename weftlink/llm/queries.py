@@ -10,6 +10,7 @@ from weftlink.llm.chat import conversation_digests, format_conversations
 from weftlink.llm.class_lm import fit_class_model, score_texts
 from weftlink.llm.common import share
 from weftlink.llm.language import fit_languages, identify
+from weftlink.llm.ngram_join import similarity_classes
 from weftlink.llm.packing import pack_documents
 from weftlink.llm.phrases import edit_sensitivity
 from weftlink.llm.token_store import stored_token_digests
@@ -68,6 +69,10 @@ def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(docs, model).withColumn("held_out", share("doc_id", 4) == 2)
 
 
+def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similarity_classes(_table(spark, sf_dir, "documents"))
+
+
 LLM_QUERIES = {
     "op1_token_store": op1_token_store,
     "op2_phrase_fingerprint": op2_phrase_fingerprint,
@@ -78,6 +83,7 @@ LLM_QUERIES = {
     "op7_nearest": op7_nearest,
     "op8_class_lm": op8_class_lm,
     "op9_language": op9_language,
+    "op10_ngram_join": op10_ngram_join,
 }
 #: None of the operators has a form in plain SQL; tests/llm compares them with brute force.
 LLM_SQL: dict[str, str] = {}
