@@ -11,7 +11,7 @@ from weftlink.operators.checks import require_complete, stale_rows_dropped
 from weftlink.operators.cluster import leaf_order
 from weftlink.operators.figures import cell_style, curve_points, even_places, group_boundaries
 from weftlink.operators.links import combine, linked_pairs, pair_heatmap, pair_heatmap_combined
-from weftlink.operators.midrank import histogram_of, midrank_table, with_zeros
+from weftlink.operators.midrank import add_percentile, histogram_of, midrank_table, with_zeros
 from weftlink.plans.ordering import with_dense_position, with_position
 
 
@@ -57,7 +57,9 @@ def test_cosine_reductions(defs, rows):
         w = want[r.id_a, r.keyset_b]
         assert r.n_edges == w.n and abs(r.sum_sim - w.s) < 1e-4 and abs(r.max_sim - w.m) < 1.5e-6
     assert C.cosine_histogram(defs, 6, block_rows=16).agg(F.sum("n")).first()[0] == 90 * 89
-    assert C.cosine_histogram(defs, 9, block_rows=16).agg(F.sum("n")).first()[0] == 90 * 89
+    assert C.cosine_histogram(defs, 7, block_rows=16).agg(F.sum("n")).first()[0] == 90 * 89
+    with pytest.raises(ValueError, match="would list the pairs"):
+        C.cosine_histogram(defs, 9)
     matrix = {(r.keyset_a, r.keyset_b): r.mean_value for r in C.cosine_keyset_matrix(defs).collect()}
     for r in edges.groupBy("keyset_a", "keyset_b").agg(F.avg("sim").alias("m")).collect():
         assert abs(matrix[r.keyset_a, r.keyset_b] - r.m) < 1e-5
@@ -136,10 +138,14 @@ def meta_of(defs):
     return defs.select("id", "keyset", F.concat(F.lit("T "), "id").alias("title"), none.alias("code"), none.alias("short_name"))
 
 
+def ids_of(defs, keyset):
+    return [r.id for r in defs.filter(f"keyset = '{keyset}'").collect()]
+
+
 def test_heatmap_keeps_unlinked_definitions(spark, defs):
     df, out = cites(spark)
     edges1, edges2 = C.cosine_edges(defs), J.jaccard_edges(df)
-    cells = pair_heatmap_combined(edges1, edges2, meta_of(defs), "A", "B").collect()
+    cells = pair_heatmap_combined(edges1, edges2, meta_of(defs), ids_of(defs, "A"), ids_of(defs, "B")).collect()
     assert len(cells) == 30 * 30
     want, _ = brute_jaccard(out)
     background = [j for _, j in want.values()] + [0.0] * (90 * 89 - len(want))
@@ -149,14 +155,22 @@ def test_heatmap_keeps_unlinked_definitions(spark, defs):
         assert abs(c.percentile_stage2 - rank) < 1e-12
         assert c.combined == (c.percentile_stage1 + c.percentile_stage2) / 2
         assert c.n_agree == c.real_diff_stage1 + c.real_diff_stage2
-    same = pair_heatmap(edges1, meta_of(defs), "sim", "A", "A")
-    assert same.count() == 900
+    a = ids_of(defs, "A")
+    same = pair_heatmap(edges1, meta_of(defs), "sim", a, a).collect()
+    assert len(same) == 900 and all(r.percentile is not None for r in same)
+
+
+def test_every_value_has_a_rank(spark):
+    background = spark.createDataFrame([(-2, 3), (0, 4), (5, 1)], "bin long, n long")
+    asked = spark.createDataFrame([(v / 10,) for v in (-3, -2, -1, 0, 3, 5, 9)], "v double")
+    got = {round(r.v * 10): r.percentile for r in add_percentile(asked, "v", background, 1).collect()}
+    assert got == {-3: 0.0, -2: 1.5 / 8, -1: 3 / 8, 0: 5 / 8, 3: 7 / 8, 5: 7.5 / 8, 9: 1.0}
 
 
 def test_linked_pairs_agree_with_the_grid(spark, defs):
     df, _ = cites(spark)
     links = linked_pairs(defs, df, 2, decimals=12).filter("keyset_a = 'A' and keyset_b = 'B'").collect()
-    cells = {(c.id_a, c.id_b): c for c in pair_heatmap_combined(C.cosine_edges(defs), J.jaccard_edges(df), meta_of(defs), "A", "B").collect()}
+    cells = {(c.id_a, c.id_b): c for c in pair_heatmap_combined(C.cosine_edges(defs), J.jaccard_edges(df), meta_of(defs), ids_of(defs, "A"), ids_of(defs, "B")).collect()}
     assert links
     for r in links:
         c = cells[r.id_a, r.id_b]

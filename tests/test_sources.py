@@ -1,11 +1,13 @@
 import json
 import os
+import urllib.parse
 import zipfile
 
 import pytest
 from pyspark.sql import functions as F
 
 from weftlink.config import load_settings
+from weftlink.operators.definitions import SheetMap
 from weftlink.operators.embedding import HashBackend, embed_works, http_backend, leaf_path, variant_preprocessor
 from weftlink.operators.figures import cell_style
 from weftlink.operators.library import item_rows, one_per_chapter
@@ -13,9 +15,9 @@ from weftlink.operators.topics import TopicSettings, assign_all, topic_info, top
 from weftlink.report.pages import download_line, index_page, report_page, save_figure
 from weftlink.report.svg import matrix_svg, pair_grid_svg
 from weftlink.sources import paged, xlsx
-from weftlink.sources.parquet import read_tree, rebuild, replace_partitions
+from weftlink.sources.parquet import read_tree, rebuild, replace_partitions, unpack_vectors
 from weftlink.streaming.incremental import embed_arrivals, progress_line
-from weftlink.workflow import link_definitions
+from weftlink.workflow import input_mark, link_definitions, settings_mark
 
 NS = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
 REL = 'xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"'
@@ -48,6 +50,70 @@ def test_sheet_source(spark, tmp_path):
         spark.read.format("sheet").option("sheet", "Two").load(str(tmp_path / "a.xlsx")).collect()
 
 
+def write_columns(path, names, rows):
+    write_book(path)
+    cell = lambda i, r, v: f'<c r="{"ABC"[i]}{r}" t="inlineStr"><is><t>{v}</t></is></c>'
+    lines = [f'<row r="{r}">{"".join(cell(i, r, v) for i, v in enumerate(row) if v)}</row>' for r, row in enumerate([names, *rows], 1)]
+    with zipfile.ZipFile(path) as book:
+        parts = {n: book.read(n) for n in book.namelist() if "sheet1" not in n}
+    with zipfile.ZipFile(path, "w") as book:
+        for name, data in parts.items():
+            book.writestr(name, data)
+        book.writestr("xl/worksheets/sheet1.xml", f'<worksheet {NS}><sheetData>{"".join(lines)}</sheetData></worksheet>')
+
+
+def test_sheets_of_different_columns_meet_by_name(spark, tmp_path):
+    write_columns(tmp_path / "a.xlsx", ["ID", "Text"], [["1", "one"]])
+    write_columns(tmp_path / "b.xlsx", ["Text", "More", "ID"], [["two", "m", "2"], ["three"]])
+    xlsx.register(spark)
+    df = spark.read.format("sheet").option("sheet", "One").load(str(tmp_path / "*.xlsx"))
+    assert df.columns == ["ID", "Text", "More"]
+    assert sorted(map(tuple, df.collect()), key=str) == [("1", "one", None), ("2", "two", "m"), (None, "three", None)]
+    with pytest.raises(Exception, match="schema lacks: More"):
+        spark.read.format("sheet").schema("ID string, Text string").option("sheet", "One").load(str(tmp_path / "*.xlsx")).collect()
+
+
+def test_id_lookup_reads_all_pages():
+    asked = []
+
+    def get(url):
+        query = {k: v[0] for k, v in urllib.parse.parse_qs(urllib.parse.urlsplit(url).query).items()}
+        dois = query["filter"].removeprefix("doi:").split("|")
+        asked.append((len(dois), query["cursor"]))
+        works = [{"id": f"W{i}-{d}", "doi": d} for d in dois for i in range(3)]
+        start = 0 if query["cursor"] == "*" else int(query["cursor"])
+        more = str(start + 60) if start + 60 < len(works) else None
+        return {"results": works[start : start + 60], "meta": {"next_cursor": more}}
+
+    dois = [f"10.1234/{i}" for i in range(49)] + ["10.1234/a,b"]
+    found = paged.fetch_ids(dois, get)
+    assert len(found) == 150 and len({w["id"] for w in found}) == 150
+    assert asked == [(49, "*"), (49, "60"), (49, "120"), (1, "*")]
+
+
+def test_vectors_of_another_width_raise(spark):
+    df = spark.createDataFrame([(1, [1.0, 2.0]), (2, None)], "id int, embedding array<double>")
+    assert sorted(map(tuple, unpack_vectors(df, 2).collect())) == [(1, 1.0, 2.0), (2, None, None)]
+    with pytest.raises(Exception, match="not 3 components but 2"):
+        unpack_vectors(df, 3).collect()
+
+
+def test_rebuild_of_nothing_keeps_the_schema(spark, tmp_path):
+    df = spark.createDataFrame([], "a int, k string")
+    for partitions in (None, ["k"]):
+        path = rebuild(df, str(tmp_path / f"t{partitions is None}"), partitions)
+        assert spark.read.parquet(path).count() == 0 and set(spark.read.parquet(path).columns) == {"a", "k"}
+
+
+def test_marks_see_what_changes(spark):
+    rows = lambda *r: spark.createDataFrame(list(r), "a string, b string")
+    tables = [rows(("x", None)), rows((None, "x")), rows(("x", "y"), ("x", "y")), rows(("z", "y"), ("z", "y")), rows(("x", "y"))]
+    marks = [input_mark(t) for t in tables]
+    assert len(set(marks)) == 5
+    assert input_mark(rows(("1", "2"), ("3", "4"))) == input_mark(rows(("3", "4"), ("1", "2")).repartition(2))
+    assert settings_mark(SheetMap("i", "a", "b")) != settings_mark(SheetMap("i", "a", "c"))
+
+
 def items():
     base = {"itemType": "book", "title": "T", "date": "May 2001", "creators": [{"name": "Team"}, {"lastName": "B"}]}
     tags = [{"tag": "Chapter 1"}, {"tag": "chapter 2"}, {"tag": "x"}]

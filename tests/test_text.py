@@ -56,6 +56,8 @@ def test_surname_key(spark):
 
 def test_author_key(spark):
     assert one(spark, ["Łódź", "Ångström", "O'Neill", None], author_key) == ["lodz", "angstrom", "oneill", ""]
+    letters = {"Nguyễn": "nguyen", "Phạm": "pham", "Þórðarson": "thordarson", "Guðmundsdóttir": "gudmundsdottir", "Trần": "tran", "Ẵng": "ang"}
+    assert one(spark, list(letters), author_key) == list(letters.values())
 
 
 def test_strip_citations(spark):

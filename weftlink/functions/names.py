@@ -21,8 +21,10 @@ QUALIFIERS = (
     r"see\s+also", "see", r"but\s+see", "also", "following", r"reviewed\s+in", "sensu",
     r"based\s+on", r"adapted\s+from", r"modified\s+from", r"following\s+the\s+work\s+of",
 )
-LETTERS_WITHOUT_DECOMPOSITION = {"ø": "o", "Ø": "O", "ł": "l", "Ł": "L", "đ": "d", "Đ": "D", "ı": "i"}
-LETTER_PAIRS = {"ß": "ss", "ẞ": "SS", "æ": "ae", "Æ": "AE", "œ": "oe", "Œ": "OE"}
+LETTERS_WITHOUT_DECOMPOSITION = {
+    "ø": "o", "Ø": "O", "ł": "l", "Ł": "L", "đ": "d", "Đ": "D", "ı": "i", "ð": "d", "Ð": "D", "ħ": "h", "Ħ": "H", "ŧ": "t", "Ŧ": "T",
+}
+LETTER_PAIRS = {"ß": "ss", "ẞ": "SS", "æ": "ae", "Æ": "AE", "œ": "oe", "Œ": "OE", "þ": "th", "Þ": "TH"}
 INITIALS = r"^(?:[A-Z]\.?|(?:[A-Z]\.){1,3})$"
 # -------------------------------------------------------------------------------------------
 
@@ -30,7 +32,7 @@ INITIALS = r"^(?:[A-Z]\.?|(?:[A-Z]\.){1,3})$"
 def _latin_letters() -> tuple[str, str]:
     """Accented Latin letters and their base letters, from Unicode decomposition."""
     pairs = dict(LETTERS_WITHOUT_DECOMPOSITION)
-    for point in range(0x00C0, 0x0250):
+    for point in (*range(0x00C0, 0x0250), *range(0x1E00, 0x1F00)):
         letter = chr(point)
         base = unicodedata.normalize("NFKD", letter)[0]
         if base != letter and base.isascii() and base.isalpha():

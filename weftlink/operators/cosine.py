@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from weftlink.plans.tiles import map_tiles
 
 DECIMALS = 12
+FINEST_BINS = 7
 
 
 def unit_rows(table: pa.Table) -> np.ndarray:
@@ -178,18 +179,17 @@ def cosine_top_links(df: DataFrame, top_n: int, decimals: int = DECIMALS, block_
 def cosine_histogram(df: DataFrame, decimals: int = 6, block_rows: int = 2048) -> DataFrame:
     """How many ordered pairs have each similarity: ``bin`` (value times 10^decimals) and ``n``.
 
-    Up to seven decimals a task counts all its tiles in one fixed array and emits it once; finer
-    bins are emitted tile by tile.
+    A task counts all its tiles in one fixed array and emits it once. Bins finer than
+    ``FINEST_BINS`` would be one row a pair and are not made.
     """
+    if decimals > FINEST_BINS:
+        raise ValueError(f"bins of {decimals} decimals would list the pairs; use at most {FINEST_BINS}")
     rows = _vectors(df)
     scale = 10**decimals
 
-    def batch(bins: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(bins), pa.array(counts)], names=["bin", "n"])
-
     def kernel(tiles):
         room = scale + scale // 100  # rounding may pass 1 by a hair
-        held = np.zeros(2 * room + 1, dtype=np.int64) if decimals <= 7 else None
+        held = np.zeros(2 * room + 1, dtype=np.int64)
         for left, right in tiles:
             sims = _similarities(left, right, decimals, clamp=False)
             bins = np.rint(sims * scale).astype(np.int64)
@@ -197,14 +197,9 @@ def cosine_histogram(df: DataFrame, decimals: int = 6, block_rows: int = 2048) -
                 pairs = bins[np.triu_indices(len(bins), 1)]
             else:
                 pairs = bins.ravel()
-            if held is not None:
-                held += 2 * np.bincount(pairs + room, minlength=len(held))
-            elif len(pairs):
-                values, counts = np.unique(pairs, return_counts=True)
-                yield batch(values, 2 * counts)
-        if held is not None:
-            places = np.flatnonzero(held)
-            yield batch(places - room, held[places])
+            held += 2 * np.bincount(pairs + room, minlength=len(held))
+        places = np.flatnonzero(held)
+        yield pa.RecordBatch.from_arrays([pa.array(places - room), pa.array(held[places])], names=["bin", "n"])
 
     partial = map_tiles(rows, "id", kernel, "bin long, n long", rows.count(), block_rows)
     return partial.groupBy("bin").agg(F.sum("n").alias("n"))

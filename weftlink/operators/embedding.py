@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from weftlink.functions.html import clean_abstract, clean_title
 from weftlink.functions.text import text_hash
 from weftlink.operators.checks import require_columns, require_same_count
+from weftlink.session import cut_lineage
 
 # ---- fixed values -------------------------------------------------------------------------
 SOURCES = ("corpus_chapter", "corpus", "keypaper")
@@ -166,7 +167,7 @@ def embed_texts(texts: DataFrame, backend: Backend, save_text: bool = True) -> D
                 vectors = [v for part in pool.map(backend.embed, requests) for v in part]
                 yield pd.DataFrame(
                     {
-                        "id": rows["id"].astype(str),
+                        "id": [None if pd.isna(i) else str(i) for i in rows["id"]],
                         "text_hash": rows["text_hash"],
                         "provider": backend.provider,
                         "model_id": backend.model,
@@ -182,14 +183,23 @@ def embed_texts(texts: DataFrame, backend: Backend, save_text: bool = True) -> D
     return out if save_text else out.drop("text")
 
 
-def pending(texts: DataFrame, embedded: DataFrame) -> DataFrame:
-    """Texts without a vector for exactly this text: new definitions and edited ones."""
-    return texts.join(embedded.select("id", "text_hash"), ["id", "text_hash"], "left_anti")
+def _made_by(embedded: DataFrame, backend: Backend | None) -> DataFrame:
+    if backend is None:
+        return embedded
+    return embedded.filter((F.col("provider") == backend.provider) & (F.col("model_id") == backend.model))
 
 
-def current_vectors(embedded: DataFrame, texts: DataFrame) -> DataFrame:
-    """Stored vectors that belong to a current text; leftovers of removed or edited ones drop out."""
-    return embedded.join(texts.select("id", "text_hash"), ["id", "text_hash"], "left_semi")
+def pending(texts: DataFrame, embedded: DataFrame, backend: Backend | None = None) -> DataFrame:
+    """Texts without a vector for exactly this text: new definitions and edited ones.
+
+    With a ``backend`` only vectors of its provider and model count, so a changed model embeds all anew.
+    """
+    return texts.join(_made_by(embedded, backend).select("id", "text_hash"), ["id", "text_hash"], "left_anti")
+
+
+def current_vectors(embedded: DataFrame, texts: DataFrame, backend: Backend | None = None) -> DataFrame:
+    """Stored vectors that belong to a current text, and to the backend's model where one is given."""
+    return _made_by(embedded, backend).join(texts.select("id", "text_hash"), ["id", "text_hash"], "left_semi")
 
 
 def leaf_path(root: str, config: str, source: str, variant: str, assessment: str | None = None) -> str:
@@ -230,14 +240,15 @@ def embed_works(
     """
     spark = definitions.sparkSession
     path = leaf_path(root, config, source, variant, assessment)
-    texts = (preprocessor or variant_preprocessor(variant))(definitions)
+    # cleaned once, read by the count, the write and the check
+    texts = cut_lineage((preprocessor or variant_preprocessor(variant))(definitions))
     stored = _stored(spark, path)
-    todo = texts if stored is None else pending(texts, stored)
+    todo = texts if stored is None else pending(texts, stored, backend)
     todo = todo.dropDuplicates(["id", "text_hash"])
     n = todo.count()
     if dry_run or n == 0:
         return n
     embed_texts(todo, backend, save_text).write.mode("append").parquet(path)
     wanted = texts.select("id", "text_hash").distinct()
-    require_same_count(wanted.count(), current_vectors(_stored(spark, path), texts).select("id", "text_hash").distinct(), path)
+    require_same_count(wanted.count(), current_vectors(_stored(spark, path), texts, backend).select("id", "text_hash").distinct(), path)
     return n

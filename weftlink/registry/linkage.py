@@ -215,6 +215,39 @@ def linked_pairs_combined(spark, sf_dir):
     return linked(spark, sf_dir)
 
 
+@query(
+    "linked_pairs_workflow",
+    f"""WITH {EDGES.replace("6) AS sim", "12) AS sim")}, {ORDER_CITES}, {zero_padded("(SELECT count(*) FROM embeddings)")},
+  binned AS (SELECT CAST(round(sim * 1e6) AS BIGINT) AS bin, count(*) AS n FROM edges GROUP BY bin),
+  ranks AS (
+    SELECT bin, (coalesce(sum(n) OVER (ORDER BY bin ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + n * 0.5)
+             / sum(n) OVER () AS percentile
+    FROM binned),
+  links AS (
+    SELECT * FROM (
+      SELECT *, row_number() OVER (PARTITION BY id_a, keyset_b ORDER BY sim DESC, id_b) AS link_rank
+      FROM edges WHERE sim > 0) WHERE link_rank <= {TOP_TEXT}),
+  alllinks AS (
+    SELECT id_a, id_b FROM links
+    UNION
+    SELECT id_a, id_b FROM (
+      SELECT *, row_number() OVER (PARTITION BY id_a, keyset_b ORDER BY jaccard DESC, id_b) AS link_rank
+      FROM jedges) WHERE link_rank <= {TOP_TEXT})
+    SELECT p.id_a, p.id_b, round(e.sim, 9) AS sim, coalesce(j.jaccard, 0) AS jaccard,
+           r1.percentile AS percentile_stage1, r2.percentile AS percentile_stage2,
+           CAST(r1.percentile >= 0.95 AS INT) + CAST(r2.percentile >= 0.95 AS INT) AS n_agree
+    FROM alllinks p JOIN edges e USING (id_a, id_b) LEFT JOIN jedges j USING (id_a, id_b)
+    JOIN ranks r1 ON r1.bin = CAST(round(e.sim * 1e6) AS BIGINT)
+    JOIN jranks r2 ON r2.bin = round(coalesce(j.jaccard, 0) * 1e6)""",
+)
+def linked_pairs_workflow(spark, sf_dir):
+    """Linked pairs with the settings of the stored workflow: 12 decimals, percentiles in bins."""
+    rows = linked_pairs(definitions(spark, sf_dir), order_cites(spark, sf_dir), TOP_TEXT, decimals=12)
+    return rows.select(
+        "id_a", "id_b", F.round("sim", 9).alias("sim"), "jaccard", "percentile_stage1", "percentile_stage2", "n_agree"
+    )
+
+
 def _channel_sql(i: int) -> str:
     from weftlink.operators.figures import GRADIENT, KNOTS
 

@@ -25,11 +25,11 @@ from weftlink.sources.parquet import (
 )
 
 
-@query("hive_tree_round_trip", "SELECT doc_id, n_chars, lang, source FROM documents WHERE lang = 'en'")
+@query("hive_tree_round_trip", "SELECT doc_id, n_chars, lang, source FROM documents")
 def hive_tree_round_trip(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "n_chars", "lang", "source")
     root = rebuild(docs, scratch_path(spark, "tree"), ["lang"])
-    return read_tree(spark, root, ["doc_id", "n_chars", "lang", "source"]).filter(F.col("lang") == "en")
+    return read_tree(spark, root, ["doc_id", "n_chars", "lang", "source"])
 
 
 @query(
@@ -44,10 +44,15 @@ def partition_replacement(spark, sf_dir):
     return read_tree(spark, root, ["doc_id", "n_chars", "lang"])
 
 
-@query("batch_from_file_name", "SELECT doc_id, CAST(NULL AS INT) AS batch, 'documents.parquet' AS file_name FROM documents")
+@query("batch_from_file_name", "SELECT doc_id, CAST(doc_id % 16 AS INT) AS batch, true AS named FROM documents")
 def batch_from_file_name(spark, sf_dir):
-    docs = with_file_name(table(spark, sf_dir, "documents"))
-    return docs.select("doc_id", shard_number(F.col("file_name")).alias("batch"), "file_name")
+    """Shards named by their number, and files without one in their name."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", (F.col("doc_id") % 16).cast("int").alias("shard"))
+    root = rebuild(docs, scratch_path(spark, "numbered"), ["shard"])
+    rows = with_file_name(read_tree(spark, root, ["doc_id", "shard", "_metadata"]))
+    # the name that the embedding step gives a shard, and the one that Spark's writer gave it
+    numbered = F.concat(F.lit("shard-"), F.lpad("shard", 5, "0"), F.lit(".parquet"))
+    return rows.select("doc_id", shard_number(numbered).alias("batch"), F.col("file_name").endswith(".parquet").alias("named"))
 
 
 @query("compaction_count_check", "SELECT count(*) AS n_written, sum(doc_id) AS check_sum FROM documents")
@@ -68,7 +73,8 @@ def wide_vector_round_trip(spark, sf_dir):
     rows = table(spark, sf_dir, "embeddings").select(
         "vec_id", "label", F.transform("embedding", lambda x: x.cast("double")).alias("embedding")
     )
-    return unpack_vectors(pack_vectors(unpack_vectors(rows, 64)), 64)
+    width = rows.agg(F.max(F.size("embedding"))).first()[0]
+    return unpack_vectors(pack_vectors(unpack_vectors(rows, width)), width)
 
 
 @query(
@@ -96,3 +102,22 @@ def incremental_embed_skip(spark, sf_dir):
     return current_vectors(stored, texts).agg(F.count("*").alias("stored")).withColumn(
         "pending_after_edit", waiting.agg(F.count("*")).scalar()
     )
+
+
+@query(
+    "stale_model_pending",
+    f"""WITH {TITLED}
+    SELECT count(*) AS stored, count(*) AS pending_after_change, count(*) AS current_after_change FROM texts""",
+)
+def stale_model_pending(spark, sf_dir):
+    """Embed all with one model, then with another under the same name: all texts are pending, then current again."""
+    docs = titled(spark, sf_dir)
+    root = scratch_path(spark, "models")
+    old, new = HashBackend("old"), HashBackend("new", width=6)
+    stored = embed_works(docs, root, "corpus", "test", "title_abstract", old)
+    waiting = embed_works(docs, root, "corpus", "test", "title_abstract", new)
+    vectors = spark.read.parquet(leaf_path(root, "test", "corpus", "title_abstract"))
+    now = current_vectors(vectors, title_abstract_text(docs, None, None), new)
+    return now.agg(F.count("*").alias("current_after_change")).select(
+        F.lit(stored).cast("long").alias("stored"), F.lit(waiting).cast("long").alias("pending_after_change"), "current_after_change"
+    )

@@ -23,7 +23,7 @@ LIBRARY_API = "https://api.zotero.org/groups"
 PAGE_ROWS = 100
 REQUESTS_PER_SECOND = 5
 WORKS_API = "https://api.openalex.org/works"
-DOIS_PER_REQUEST = 50
+DOIS_PER_REQUEST, WORKS_PER_PAGE = 50, 200
 # -------------------------------------------------------------------------------------------
 
 
@@ -75,13 +75,35 @@ def register(spark: SparkSession) -> None:
     spark.dataSource.register(LibrarySource)
 
 
-def fetch_ids(dois: list[str]) -> list[dict]:
-    """``id, doi`` of the works with these DOIs."""
-    query = urllib.parse.urlencode(
-        {"filter": "doi:" + "|".join(dois), "select": "id,doi", "per-page": DOIS_PER_REQUEST}
-    )
-    with urllib.request.urlopen(f"{WORKS_API}?{query}", timeout=60) as answer:
-        return json.loads(answer.read())["results"]
+def get_json(url: str, retries: int = 4) -> dict:
+    """A JSON answer; busy servers and lost connections are tried again, the last failure is raised."""
+    for attempt in range(retries):
+        try:
+            with urllib.request.urlopen(url, timeout=60) as answer:
+                return json.loads(answer.read())
+        except OSError as error:
+            if attempt + 1 == retries or getattr(error, "code", 500) not in (429, 500, 502, 503, 504):
+                raise
+            time.sleep(2**attempt)
+    raise AssertionError("unreachable")
+
+
+def fetch_ids(dois: list[str], get=get_json) -> list[dict]:
+    """``id, doi`` of all works with these DOIs, page after page.
+
+    A DOI with a separator of the filter's own, a comma or a bar, is asked for alone.
+    """
+    alone = [d for d in dois if "," in d or "|" in d]
+    found: list[dict] = []
+    for group in [[d for d in dois if d not in alone], *([d] for d in alone)]:
+        cursor: str | None = "*"
+        while group and cursor:
+            wanted = "|".join(urllib.parse.quote(d, safe="/:") if group[0] in alone else d for d in group)
+            query = {"filter": f"doi:{wanted}", "select": "id,doi", "per-page": WORKS_PER_PAGE, "cursor": cursor}
+            page = get(f"{WORKS_API}?{urllib.parse.urlencode(query)}")
+            found += page["results"]
+            cursor = page.get("meta", {}).get("next_cursor") if page["results"] else None
+    return found
 
 
 def lookup_ids(library: DataFrame, fetch=fetch_ids, workers: int = 8) -> DataFrame:

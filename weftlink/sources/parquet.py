@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -63,8 +64,11 @@ def pack_vectors(df: DataFrame) -> DataFrame:
 
 
 def unpack_vectors(df: DataFrame, width: int) -> DataFrame:
+    """``embedding`` as columns ``V1..Vwidth``; a vector of another length raises, a missing one gives NULLs."""
     rest = [c for c in df.columns if c != "embedding"]
-    return df.select(*rest, *[F.get("embedding", i).alias(f"V{i + 1}") for i in range(width)])
+    message = F.concat(F.lit(f"a vector has not {width} components but "), F.size("embedding").cast("string"))
+    sized = F.when(F.size("embedding") != width, F.raise_error(message)).otherwise(F.col("embedding"))
+    return df.withColumn("embedding", sized).select(*rest, *[F.get("embedding", i).alias(f"V{i + 1}") for i in range(width)])
 
 
 def partition_values(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -74,11 +78,15 @@ def partition_values(df: DataFrame, columns: list[str]) -> DataFrame:
 
 def rebuild(df: DataFrame, path: str, partition_by: list[str] | None = None) -> str:
     """Replace the whole tree. An empty table leaves one file that carries the schema."""
-    if df.isEmpty():
-        df.coalesce(1).write.mode("overwrite").parquet(path)
-        return path
     writer = df.write.mode("overwrite").option("partitionOverwriteMode", "static")
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
+    spark = df.sparkSession
+    try:
+        spark.read.parquet(path)
+    except AnalysisException as error:  # no partition, so no file
+        if error.getCondition() != "UNABLE_TO_INFER_SCHEMA":
+            raise
+        spark.createDataFrame([], df.schema).coalesce(1).write.mode("overwrite").parquet(path)
     return path
 
 

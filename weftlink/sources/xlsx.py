@@ -71,8 +71,15 @@ def _value(cell: ElementTree.Element, shared: list[str]) -> str | None:
     return shared[int(value.text)] if kind == "s" else value.text
 
 
+def header_names(header: list[str | None]) -> list[str]:
+    return [n or f"column{i + 1}" for i, n in enumerate(header)]
+
+
 class SheetSource(DataSource):
-    """Options: ``path`` (glob allowed) and ``sheet``; the first row names the columns."""
+    """Options: ``path`` (glob allowed) and ``sheet``; the first row of each file names its columns.
+
+    The table has the columns of all files; a column that a file lacks is NULL in its rows.
+    """
 
     @classmethod
     def name(cls) -> str:
@@ -85,8 +92,8 @@ class SheetSource(DataSource):
         return files
 
     def schema(self) -> StructType:
-        header = next(read_rows(self._files()[0], self.options["sheet"]))
-        return StructType([StructField(n or f"column{i + 1}", StringType()) for i, n in enumerate(header)])
+        names = [n for f in self._files() for n in header_names(next(read_rows(f, self.options["sheet"])))]
+        return StructType([StructField(n, StringType()) for n in dict.fromkeys(names)])
 
     def reader(self, schema: StructType) -> DataSourceReader:
         return _SheetReader(self._files(), self.options["sheet"], schema)
@@ -94,18 +101,24 @@ class SheetSource(DataSource):
 
 class _SheetReader(DataSourceReader):
     def __init__(self, files: list[str], sheet: str, schema: StructType) -> None:
-        self.files, self.sheet, self.width = files, sheet, len(schema)
+        self.files, self.sheet, self.names = files, sheet, schema.fieldNames()
 
     def partitions(self) -> list[InputPartition]:
         return [InputPartition(f) for f in self.files]
 
     def read(self, partition: InputPartition) -> Iterator[tuple]:
         rows = read_rows(partition.value, self.sheet)
-        next(rows)
+        header = header_names(next(rows))
+        if unknown := [n for n in header if n not in self.names]:
+            raise ValueError(f"{partition.value} has columns that the schema lacks: {', '.join(unknown)}")
+        places = [header.index(n) if n in header else None for n in self.names]
         for row in rows:
-            padded = (row + [None] * self.width)[: self.width]
-            if any(v is not None for v in padded):
-                yield tuple(padded)
+            if any(v is not None for v in row[len(header) :]):
+                raise ValueError(f"{partition.value} has a row with cells beyond its {len(header)} named columns")
+            padded = row + [None] * len(header)
+            values = [None if i is None else padded[i] for i in places]
+            if any(v is not None for v in values):
+                yield tuple(values)
 
 
 def register(spark: SparkSession) -> None:

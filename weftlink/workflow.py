@@ -7,6 +7,7 @@ the same settings and inputs, as recorded beside it.
 from __future__ import annotations
 
 import hashlib
+import json
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -25,8 +26,16 @@ from weftlink.sources.parquet import rebuild
 
 def input_mark(df: DataFrame) -> str:
     """Rows and an order-free hash of a table's content: the same table gives the same mark."""
-    row = df.agg(F.count("*"), F.bit_xor(F.xxhash64(*df.columns))).first()
-    return f"{row[0]}:{row[1]}"
+    # null flags tell a missing value from another column's; a sum, unlike xor, keeps repeated rows apart
+    nulls = [F.col(f"`{c}`").isNull() for c in df.columns]
+    values = [F.col(f"`{c}`") for c in df.columns]
+    hashed = [F.xxhash64(F.lit(seed), *values, *nulls).cast("decimal(38,0)") for seed in (1, 2)]
+    row = df.agg(F.count("*"), *map(F.sum, hashed)).first()
+    return ":".join(map(str, row))
+
+
+def settings_mark(*parts) -> str:
+    return json.dumps(parts, sort_keys=True, default=vars)
 
 
 @dataclass
@@ -86,17 +95,18 @@ def link_definitions(
 ) -> DataFrame:
     """Definitions, citations, resolved works, vectors and linked pairs, in that order."""
     store = Store(spark, root)
-    sheet_marks = [f"{k}:{input_mark(v)}" for k, v in sorted(sheets.items())]
+    sheet_marks = [f"{k}:{input_mark(v)}:{settings_mark(settings.sheets[k])}" for k, v in sorted(sheets.items())]
     definitions = store.make(
         "keypaper", sheet_marks,
         lambda: prepare_definitions({k: (v, settings.sheets[k]) for k, v in sheets.items()}), ["keyset"],
     )
     extracted = store.make("citations_extracted", sheet_marks, lambda: extract_citations(definitions), ["keyset"])
-    library_marks = sheet_marks + [input_mark(library), input_mark(ids), input_mark(corpus)]
+    index_marks = [input_mark(library), input_mark(ids), input_mark(corpus), settings_mark(library_order)]
+    library_marks = [*sheet_marks, *index_marks, settings_mark(settings.citing, settings.default_assessment)]
 
     def resolve() -> DataFrame:
         index = store.make(
-            "reference_index", library_marks[len(sheet_marks):],
+            "reference_index", index_marks,
             lambda: reference_index(library, ids, corpus, library_order, ["id"]),
         )
         cites = extracted.withColumn(
@@ -110,7 +120,7 @@ def link_definitions(
     vectors_root = store.path("embeddings")
     embed_works(definitions, vectors_root, "keypaper", settings.active, "title_abstract", backend, prepare)
     stored = spark.read.parquet(leaf_path(vectors_root, settings.active, "keypaper", "title_abstract"))
-    vectors = stale_rows_dropped(current_vectors(stored, prepare(definitions)), definitions)
+    vectors = stale_rows_dropped(current_vectors(stored, prepare(definitions), backend), definitions)
     require_complete(definitions, vectors)
     # one vector per text, however often it was stored
     vectors = vectors.dropDuplicates(["id"]).join(definitions.select("id", "keyset"), "id")
@@ -119,4 +129,4 @@ def link_definitions(
         cites = resolved.select(F.col("keypaper_id").alias("id"), "keyset", F.col("matched_id").alias("work"))
         return linked_pairs(vectors.select("id", "keyset", "embedding"), cites, top_n, decimals=12)
 
-    return store.make("linked_pairs", library_marks + [settings.fingerprint(), str(top_n)], pairs)
+    return store.make("linked_pairs", library_marks + [settings.fingerprint(), backend.provider, backend.model, str(top_n)], pairs)
