@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from weftlink.llm.class_lm import class_likelihood, exchange, fit_class_model, score_texts, words_of
 from weftlink.llm.common import share
 from weftlink.llm.language import fit_languages, identify, known_language
-from weftlink.llm.toxicity import Lexicon, ToxicityModel, distance_allowed, fit_toxicity, plain, quoted, score_toxicity, without_toxic
+from weftlink.llm.toxicity import Lexicon, ToxicityModel, distance_allowed, fit_toxicity, needed_terms, plain, quoted, score_toxicity, without_toxic
 
 SYLLABLES = {"xx": ["ba", "ke", "tion", "ol"], "yy": ["über", "keit", "ßa", "sch"], "zz": ["ción", "qué", "lla", "rr"]}
 
@@ -81,6 +81,8 @@ def test_misspellings_and_quotation():
     assert quoted(words, words.index('moron"')) and not quoted("you are a moron".split(), 3)
     assert model.features("you are a moron") > model.features("the word moron is an insult")
     assert plain("(Tr@sh!)".lower()) == "trash"
+    found = [{"a", "x"}, {"a", "x"}, {"b"}, {"b", "y"}, {"c"}]
+    assert list(needed_terms({t: (1.0, True) for t in "abcxy"}, found)) == ["a", "b"]
 
 
 def test_toxicity_held_out(corpus):

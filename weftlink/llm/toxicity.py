@@ -21,8 +21,11 @@ from weftlink.session import cut_lineage
 SAMPLE = 20_000
 #: Terms are beginnings of words of this many letters, at most this many of them; a bound on the model.
 SHORTEST, LONGEST, MOST_TERMS = 4, 12, 500
-#: A term is in at least so many times as large a share of toxic texts, and so far from chance (a log-likelihood ratio).
-RATIO, EVIDENCE = 3.0, 20.0
+#: A term is in at least so many times as large a share of toxic texts, and so far from chance (a log-likelihood ratio),
+#: and it is in at least this share of them: a passage that a few of them share is no term.
+RATIO, EVIDENCE, LEAST_SHARE = 3.0, 30.0, 0.01
+#: A term is kept if this many toxic texts, and this share of them, have none of the terms with more evidence.
+NEW_TEXTS, NEW_SHARE = 2, 0.002
 #: Share of a term's texts that hold the term as a word from which on it counts as a word and not as a stem.
 WHOLE = 0.8
 #: Words around a hit that decide whether it is quoted, and what a quoted hit counts.
@@ -72,14 +75,13 @@ class Lexicon:
             for a, b in zip(cuts, cuts[1:]):  # noqa: B905
                 for place in range(max(0, a - edits), a + edits + 1):
                     self.pieces[term[a:b]] = self.pieces.get(term[a:b], 0) | 1 << place
-        self.sizes = sorted({len(piece) for piece in self.pieces})
+        self.looks = sorted({(p, p + len(s)) for s, at in self.pieces.items() for p in range(at.bit_length()) if at >> p & 1})
 
     def _candidate(self, word: str) -> bool:
-        pieces = self.pieces
-        for size in self.sizes:
-            for place in range(min(len(word), LONGEST + 3) - size + 1):
-                if pieces.get(word[place : place + size], 0) >> place & 1:
-                    return True
+        get = self.pieces.get
+        for a, b in self.looks:
+            if get(word[a:b], 0) >> a & 1:
+                return True
         return False
 
     def match(self, word: str) -> tuple[str, int] | None:
@@ -245,7 +247,7 @@ def choose_terms(counts: dict[str, tuple[int, int]], words: dict[str, int], all_
         if value[term] < EVIDENCE:
             break
         ratio = (toxic + 0.1) / (clean + 0.5) * all_clean / all_toxic
-        if ratio >= RATIO:
+        if ratio >= RATIO and toxic >= LEAST_SHARE * all_toxic:
             terms[term] = math.log(ratio), words.get(term, 0) >= WHOLE * toxic
         for k in range(SHORTEST, len(term)):
             if (short := term[:k]) in left:
@@ -257,6 +259,20 @@ def choose_terms(counts: dict[str, tuple[int, int]], words: dict[str, int], all_
     return terms
 
 
+def needed_terms(terms: dict[str, tuple[float, bool]], found: list[set[str]]) -> dict[str, tuple[float, bool]]:
+    """Terms, in order of evidence, that toxic texts need: what only goes along with other terms is left out.
+
+    ``found`` has the terms in each toxic text. Copies of one toxic passage share many words, but also its terms.
+    """
+    kept, open_texts = {}, list(found)
+    for term, value in terms.items():
+        new = sum(term in f for f in open_texts)
+        if new >= max(NEW_TEXTS, NEW_SHARE * len(found)):
+            kept[term] = value
+            open_texts = [f for f in open_texts if term not in f]
+    return kept
+
+
 def fit_toxicity(docs: DataFrame, labels: DataFrame, learn: Column, key: str = "doc_id", text: str = "text", sample: int = SAMPLE) -> ToxicityModel:
     """Learn from labelled rows where ``learn`` (on the key) holds; labels with a null key or value say nothing.
 
@@ -282,6 +298,16 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, learn: Column, key: str = "
         {r["term"]: (r["toxic"], r["clean"]) for r in rows if not r["whole"]},
         {r["term"]: r["toxic"] for r in rows if r["whole"]}, all_toxic, all_clean,
     )
+    trial = ToxicityModel(terms)
+
+    def terms_in(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held = [sorted({t for _, t, edits in trial.hits(v.lower().split()) if not edits}) for v in texts_of(batch, "text")]
+            yield pa.RecordBatch.from_arrays([pa.array(held, pa.list_(pa.string()))], names=["terms"])
+
+    # one row for each toxic text of the sample
+    found = first.filter("toxic = 1").select("text").mapInArrow(terms_in, "terms array<string>").collect()
+    terms = needed_terms(terms, [set(r["terms"]) for r in found])
     model = ToxicityModel(terms)
 
     def lookalikes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
