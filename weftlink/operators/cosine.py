@@ -10,6 +10,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -236,12 +237,34 @@ def cosine_keyset_matrix(df: DataFrame) -> DataFrame:
     """Mean similarity over all ordered pairs of each keyset pair, self pairs left out.
 
     The sum of all dot products between two groups is the dot product of the groups' vector sums, so
-    one pass over the vectors and a table with one row per keyset are enough.
+    one pass over the vectors and a table with one row per keyset are enough. A task sums its own rows
+    first and passes one row on for each keyset.
     """
-    units = unit_vectors(_vectors(df))
-    parts = units.select("keyset", F.posexplode("embedding").alias("pos", "x"))
-    sums = parts.groupBy("keyset", "pos").agg(
-        F.sum("x").alias("x"), F.sum(F.col("x") * F.col("x")).alias("own"), F.count("*").alias("n")
+
+    def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str | None, list] = {}
+        for batch in batches:
+            units = unit_rows(pa.Table.from_batches([batch]))
+            codes, names = pd.factorize(batch.column("keyset").to_pandas(), use_na_sentinel=False)
+            for code, name in enumerate(names):
+                rows = units[codes == code]
+                total = held.setdefault(name if isinstance(name, str) else None, [0.0, 0.0, 0])
+                total[0], total[1], total[2] = total[0] + rows.sum(axis=0), total[1] + (rows * rows).sum(axis=0), total[2] + len(rows)
+        vector = pa.list_(pa.float64())
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.array(list(held), pa.string()),
+                pa.array([t[0] for t in held.values()], vector),
+                pa.array([t[1] for t in held.values()], vector),
+                pa.array([t[2] for t in held.values()], pa.int64()),
+            ],
+            names=["keyset", "x", "own", "n"],
+        )
+
+    parts = _vectors(df).mapInArrow(add_up, "keyset string, x array<double>, own array<double>, n long")
+    placed = parts.select("keyset", "n", F.posexplode(F.arrays_zip("x", "own")).alias("pos", "v"))
+    sums = placed.groupBy("keyset", "pos").agg(
+        F.sum("v.x").alias("x"), F.sum("v.own").alias("own"), F.sum("n").alias("n")
     )
     a = sums.toDF("keyset_a", "pos", "xa", "own", "n_a")
     b = sums.select("keyset", "pos", "x", "n").toDF("keyset_b", "pos", "xb", "n_b")
