@@ -1,6 +1,6 @@
 """Headline queries at $BENCH_SF_DIR on local[$BENCH_CPUS]; prints one JSON line.
 
-$BENCH_RUNS (default 1) timed runs per query after one untimed start-up query; the median counts. Every
+$BENCH_RUNS (default 3) timed runs per query after one untimed start-up query; the median counts. Every
 query is run in full and its rows are discarded by Spark's noop sink.
 """
 
@@ -42,7 +42,7 @@ HEADLINE = [
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
-    runs = int(os.environ.get("BENCH_RUNS", "1"))
+    runs = int(os.environ.get("BENCH_RUNS", "3"))
     names = os.environ.get("BENCH_QUERIES", ",".join(HEADLINE)).split(",")
     spark = build_session(
         f"local[{cpus}]",

@@ -78,8 +78,9 @@ def main() -> None:
             order = [theirs_columns.index(c) for c in columns]
             a, b = canonical(mine), canonical([tuple(r[i] for i in order) for r in rows])
             if a != b:
-                only_a = [r for r in a if r not in set(b)][:3]
-                only_b = [r for r in b if r not in set(a)][:3]
+                of_a, of_b = set(a), set(b)
+                only_a = [r for r in a if r not in of_b][:3]
+                only_b = [r for r in b if r not in of_a][:3]
                 raise AssertionError(f"{len(a)} vs {len(b)} rows; spark only {only_a}; sql only {only_b}")
             print(f"same {name}: {len(a)} rows, spark {spent:.1f}s, duckdb {duck:.1f}s", flush=True)
         except Exception as error:  # noqa: BLE001

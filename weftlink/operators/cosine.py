@@ -177,10 +177,11 @@ def cosine_top_links(df: DataFrame, top_n: int, decimals: int = DECIMALS, block_
     return best_links(found, "sim", top_n)
 
 
-def cosine_histogram(df: DataFrame, decimals: int = 6, block_rows: int = 2048) -> DataFrame:
+def cosine_histogram(df: DataFrame, decimals: int = 6, block_rows: int = 2048, places: int | None = None) -> DataFrame:
     """How many ordered pairs have each similarity: ``bin`` (value times 10^decimals) and ``n``.
 
-    A task counts all its tiles in one fixed array and emits it once. Bins finer than
+    Values are rounded to ``places`` first, so a value that is compared with ``places`` decimals falls into the bin
+    it was counted in. A task counts all its tiles in one fixed array and emits it once. Bins finer than
     ``FINEST_BINS`` would be one row a pair and are not made.
     """
     if decimals > FINEST_BINS:
@@ -192,15 +193,15 @@ def cosine_histogram(df: DataFrame, decimals: int = 6, block_rows: int = 2048) -
         room = scale + scale // 100  # rounding may pass 1 by a hair
         held = np.zeros(2 * room + 1, dtype=np.int64)
         for left, right in tiles:
-            sims = _similarities(left, right, decimals, clamp=False)
-            bins = np.rint(sims * scale).astype(np.int64)
+            sims = _similarities(left, right, decimals if places is None else places, clamp=False) * scale
+            bins = (np.sign(sims) * np.floor(np.abs(sims) + 0.5)).astype(np.int64)  # halves away from zero, as in SQL
             if right is left:
                 pairs = bins[np.triu_indices(len(bins), 1)]
             else:
                 pairs = bins.ravel()
             held += 2 * np.bincount(pairs + room, minlength=len(held))
-        places = np.flatnonzero(held)
-        yield pa.RecordBatch.from_arrays([pa.array(places - room), pa.array(held[places])], names=["bin", "n"])
+        filled = np.flatnonzero(held)
+        yield pa.RecordBatch.from_arrays([pa.array(filled - room), pa.array(held[filled])], names=["bin", "n"])
 
     partial = map_tiles(rows, "id", kernel, "bin long, n long", rows.count(), block_rows)
     return partial.groupBy("bin").agg(F.sum("n").alias("n"))
