@@ -81,8 +81,9 @@ def test_misspellings_and_quotation():
     assert quoted(words, words.index('moron"')) and not quoted("you are a moron".split(), 3)
     assert model.features("you are a moron") > model.features("the word moron is an insult")
     assert plain("(Tr@sh!)".lower()) == "trash"
-    found = [{"a", "x"}, {"a", "x"}, {"b"}, {"b", "y"}, {"c"}]
-    assert list(needed_terms({t: (1.0, True) for t in "abcxy"}, found)) == ["a", "b"]
+    found = [{"a", "x"}, {"a", "x"}, {"b"}, {"b", "y"}, {"c"}] + [{"a", "b"}] * 3 + [set()] * 12
+    assert list(needed_terms({t: (1.0, True) for t in "abcxy"}, found)) == ["a", "b", "x"]
+    assert list(needed_terms({t: (1.0, True) for t in "abcxy"}, found + [set()])) == ["a", "b"]
 
 
 def test_toxicity_held_out(corpus):

@@ -18,14 +18,16 @@ from weftlink.llm.common import slices, texts_of, unused_name
 from weftlink.session import cut_lineage
 
 #: Labelled rows that the classifier is fitted on, at most: those with the smallest hash of their key.
-SAMPLE = 20_000
+SAMPLE = 12_000
 #: Terms are beginnings of words of this many letters, at most this many of them; a bound on the model.
 SHORTEST, LONGEST, MOST_TERMS = 4, 12, 500
 #: A term is in at least so many times as large a share of toxic texts, and so far from chance (a log-likelihood ratio),
 #: and it is in at least this share of them: a passage that a few of them share is no term.
-RATIO, EVIDENCE, LEAST_SHARE = 3.0, 30.0, 0.01
+RATIO, EVIDENCE, LEAST_SHARE = 3.0, 15.0, 0.01
 #: A term is kept if this many toxic texts, and this share of them, have none of the terms with more evidence.
 NEW_TEXTS, NEW_SHARE = 2, 0.002
+#: Share of toxic texts from which on a term is common.
+COMMON_SHARE = 0.1
 #: Share of a term's texts that hold the term as a word from which on it counts as a word and not as a stem.
 WHOLE = 0.8
 #: Words around a hit that decide whether it is quoted, and what a quoted hit counts.
@@ -34,6 +36,8 @@ WINDOW, QUOTED = 8, 0.35
 MEMO = 500_000
 SLICE_BYTES = 2 << 20
 THRESHOLD = 0.7
+#: The most that a text without a hit scores.
+UNKNOWN = 0.4
 
 # fixed values: look-alikes, quotation marks, words that report and words that address someone
 LOOK_ALIKES = str.maketrans("013457@$!", "oieastasi")
@@ -180,7 +184,8 @@ class ToxicityModel:
         x = np.array([self.features(t) for t in texts], dtype=float).reshape(len(texts), -1)
         if self.weights is None or not len(x):
             return np.full(len(texts), 0.0)
-        return 1 / (1 + np.exp(-np.clip(np.column_stack([x, np.ones(len(x))]) @ self.weights, -30, 30)))
+        score = 1 / (1 + np.exp(-np.clip(np.column_stack([x, np.ones(len(x))]) @ self.weights, -30, 30)))
+        return np.where(x[:, 4] > 0, score, np.minimum(score, UNKNOWN))
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
@@ -199,31 +204,35 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray
 
 
 def _term_counts(train: DataFrame) -> DataFrame:
-    """``term, whole, toxic, clean``: texts that hold each beginning of a word, and each word; all texts at ''."""
+    """``half, term, whole, toxic, clean``: texts that hold each beginning of a word, and each word; all texts at ''."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for rows in slices(batch, "text", SLICE_BYTES):
                 held: tuple[Counter, Counter] = Counter(), Counter()
-                for toxic, text in zip(rows.column("toxic").to_pylist(), texts_of(rows, "text"), strict=True):
+                values = zip(rows.column("half").to_pylist(), rows.column("toxic").to_pylist(), texts_of(rows, "text"), strict=True)
+                for half, toxic, text in values:
                     words = set(map(plain, text.lower().split()))
-                    held[toxic].update({(w[:k], False) for w in words for k in range(SHORTEST, min(len(w), LONGEST) + 1)})
-                    held[toxic].update((w, True) for w in words if w)
-                    held[toxic]["", False] += 1
+                    starts = {w[:k] for w in words for k in range(SHORTEST, min(len(w), LONGEST) + 1)}
+                    held[toxic].update((half, start, False) for start in starts)
+                    held[toxic].update((half, w, True) for w in words if w)
+                    held[toxic][half, "", False] += 1
                 counts = {key: (held[0][key], held[1][key]) for key in held[0].keys() | held[1].keys()}
                 keys = list(counts)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array([k[0] for k in keys], pa.string()),
-                        pa.array([k[1] for k in keys], pa.bool_()),
+                        pa.array([k[0] for k in keys], pa.int32()),
+                        pa.array([k[1] for k in keys], pa.string()),
+                        pa.array([k[2] for k in keys], pa.bool_()),
                         pa.array([counts[k][1] for k in keys], pa.int64()),
                         pa.array([counts[k][0] for k in keys], pa.int64()),
                     ],
-                    names=["term", "whole", "toxic", "clean"],
+                    names=["half", "term", "whole", "toxic", "clean"],
                 )
 
-    parts = train.select("toxic", "text").mapInArrow(count, "term string, whole boolean, toxic long, clean long")
-    return parts.groupBy("term", "whole").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    schema = "half int, term string, whole boolean, toxic long, clean long"
+    parts = train.select("half", "toxic", "text").mapInArrow(count, schema)
+    return parts.groupBy("half", "term", "whole").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
 
 
 def evidence(toxic: float, clean: float, all_toxic: float, all_clean: float) -> float:
@@ -262,32 +271,24 @@ def choose_terms(counts: dict[str, tuple[int, int]], words: dict[str, int], all_
 def needed_terms(terms: dict[str, tuple[float, bool]], found: list[set[str]]) -> dict[str, tuple[float, bool]]:
     """Terms, in order of evidence, that toxic texts need: what only goes along with other terms is left out.
 
-    ``found`` has the terms in each toxic text. Copies of one toxic passage share many words, but also its terms.
+    ``found`` has the terms in each toxic text. Copies of one toxic passage share many words, but also its terms. A
+    common term also stays without new texts of its own, if no kept term is in much the same texts.
     """
-    kept, open_texts = {}, list(found)
-    for term, value in terms.items():
-        new = sum(term in f for f in open_texts)
-        if new >= max(NEW_TEXTS, NEW_SHARE * len(found)):
-            kept[term] = value
-            open_texts = [f for f in open_texts if term not in f]
-    return kept
-
-
-def fit_toxicity(docs: DataFrame, labels: DataFrame, learn: Column, key: str = "doc_id", text: str = "text", sample: int = SAMPLE) -> ToxicityModel:
-    """Learn from labelled rows where ``learn`` (on the key) holds; labels with a null key or value say nothing.
-
-    At most ``sample`` rows are used, copies of a text once. Half of the texts give the terms and the words that
-    only look like them, the features of the other half give the logistic weights, so these know how often an
-    unknown word deceives. Without both classes in both halves no text scores above 0.
-    """
-    known = labels.filter(F.col(key).isNotNull() & F.col("toxic").isNotNull() & learn)
-    known = known.groupBy(key).agg(F.max("toxic").cast("int").alias("toxic"))
-    chosen = known.orderBy(F.xxhash64(key), key).limit(sample)
-    # the sample's size is bounded, so it can be sent to all tasks
-    train = docs.select(F.col(key), F.coalesce(F.col(text), F.lit("")).alias("text")).join(F.broadcast(chosen), key)
-    train = cut_lineage(train.groupBy("text").agg((F.max("toxic") > 0).cast("int").alias("toxic")))
-    first, second = (train.filter(F.pmod(F.xxhash64("text"), F.lit(2)) == i) for i in (0, 1))
-    counts = _term_counts(first)
+    kept: dict[str, set[int]] = {}
+    covered: set[int] = set()
+    for term in terms:
+        texts = {i for i, f in enumerate(found) if term in f}
+        common = len(texts) >= COMMON_SHARE * len(found) > 0
+        if len(texts - covered) >= max(NEW_TEXTS, NEW_SHARE * len(found)) or (
+            common and all(2 * len(texts & other) < len(texts | other) for other in kept.values())
+        ):
+            kept[term] = texts
+            covered |= texts
+    return {term: terms[term] for term in kept}
+
+
+def learn_lexicon(train: DataFrame, counts: DataFrame) -> ToxicityModel:
+    """The terms of some labelled texts, and the words of their clean ones that only look like terms."""
     total = counts.filter("term = '' and not whole").first()
     if not total or not total["toxic"] or not total["clean"]:
         return ToxicityModel({})
@@ -306,9 +307,8 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, learn: Column, key: str = "
             yield pa.RecordBatch.from_arrays([pa.array(held, pa.list_(pa.string()))], names=["terms"])
 
     # one row for each toxic text of the sample
-    found = first.filter("toxic = 1").select("text").mapInArrow(terms_in, "terms array<string>").collect()
-    terms = needed_terms(terms, [set(r["terms"]) for r in found])
-    model = ToxicityModel(terms)
+    found = train.filter("toxic = 1").select("text").mapInArrow(terms_in, "terms array<string>").collect()
+    model = ToxicityModel(needed_terms(terms, [set(r["terms"]) for r in found]))
 
     def lookalikes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Words of clean texts that the lexicon takes for misspellings."""
@@ -320,12 +320,40 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, learn: Column, key: str = "
                     seen.update(plain(words[i]) for i, _, edits in model.hits(words) if edits)
             yield pa.RecordBatch.from_arrays([pa.array(sorted(seen), pa.string())], names=["word"])
 
-    clean_texts = first.filter("toxic = 0").select("text")
+    clean_texts = train.filter("toxic = 0").select("text")
     innocent = frozenset(r["word"] for r in clean_texts.mapInArrow(lookalikes, "word string").distinct().collect())
-    model = ToxicityModel(terms, innocent)
-    made = second.mapInArrow(_feature_rows(model), "toxic int, x array<double>").toPandas()
-    if made["toxic"].nunique() == 2:
-        model.weights = fit_logistic(np.array(made["x"].tolist()), made["toxic"].to_numpy(dtype=float))
+    return ToxicityModel(model.terms, innocent)
+
+
+def fit_toxicity(docs: DataFrame, labels: DataFrame, learn: Column, key: str = "doc_id", text: str = "text", sample: int = SAMPLE) -> ToxicityModel:
+    """Learn from labelled rows where ``learn`` (on the key) holds; labels with a null key or value say nothing.
+
+    At most ``sample`` rows are used, copies of a text once. The logistic weights come from features of each half of
+    the texts by the lexicon of the other half, so they know how often an unknown word deceives; the lexicon itself
+    is that of both. Without both classes no text scores above 0.
+    """
+    known = labels.filter(F.col(key).isNotNull() & F.col("toxic").isNotNull() & learn)
+    known = known.groupBy(key).agg(F.max("toxic").cast("int").alias("toxic"))
+    chosen = known.orderBy(F.xxhash64(key), key).limit(sample)
+    # the sample's size is bounded, so it can be sent to all tasks
+    train = docs.select(F.col(key), F.coalesce(F.col(text), F.lit("")).alias("text")).join(F.broadcast(chosen), key)
+    train = train.groupBy("text").agg((F.max("toxic") > 0).cast("int").alias("toxic"))
+    train = cut_lineage(train.withColumn("half", F.pmod(F.xxhash64("text"), F.lit(2)).cast("int")))
+    counts = cut_lineage(_term_counts(train))
+    made = []
+    for half in (0, 1):
+        other = learn_lexicon(train.filter(F.col("half") != half), counts.filter(F.col("half") != half))
+        rows = train.filter(F.col("half") == half)
+        made.append(rows.select("toxic", "text").mapInArrow(_feature_rows(other), "toxic int, x array<double>").toPandas())
+    rows = pd.concat(made)
+    both = counts.groupBy("term", "whole").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    model = learn_lexicon(train, both)
+    if rows["toxic"].nunique() == 2:
+        x, y = np.array(rows["x"].tolist()), rows["toxic"].to_numpy(dtype=float)
+        model.weights = fit_logistic(x, y)
+        if (model.weights[:3] < 0).any():  # hits never speak for a text
+            x[:, :3][:, model.weights[:3] < 0] = 0
+            model.weights = fit_logistic(x, y)
     return model
 
 
