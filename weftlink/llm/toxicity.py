@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import bisect
+import heapq
 import math
 import re
 from collections import Counter
@@ -247,24 +249,27 @@ def evidence(toxic: float, clean: float, all_toxic: float, all_clean: float) ->
 
 def choose_terms(counts: dict[str, tuple[int, int]], words: dict[str, int], all_toxic: int, all_clean: int) -> dict[str, tuple[float, bool]]:
     """Terms by evidence. What a chosen term explains is taken from its beginnings, about; longer ones are dropped."""
-    left = dict(counts)
-    value = {t: evidence(*c, all_toxic, all_clean) for t, c in left.items()}
+    left, ordered = dict(counts), sorted(counts)
+    worth = {t: evidence(*c, all_toxic, all_clean) for t, c in left.items()}
+    heap = [(-v, -len(t), t) for t, v in worth.items() if v >= EVIDENCE]
+    heapq.heapify(heap)
     terms: dict[str, tuple[float, bool]] = {}
-    while left and len(terms) < MOST_TERMS:
-        term = max(left, key=lambda t: (value[t], len(t), t))
+    while heap and len(terms) < MOST_TERMS:
+        value, _, term = heapq.heappop(heap)
+        if term not in left or -value != worth[term]:
+            continue  # dropped, or in the heap again with what is left of it
         toxic, clean = left[term]
-        if value[term] < EVIDENCE:
-            break
         ratio = (toxic + 0.1) / (clean + 0.5) * all_clean / all_toxic
         if ratio >= RATIO and toxic >= LEAST_SHARE * all_toxic:
             terms[term] = math.log(ratio), words.get(term, 0) >= WHOLE * toxic
         for k in range(SHORTEST, len(term)):
             if (short := term[:k]) in left:
-                a, b = left[short][0] - toxic, left[short][1] - clean
-                left[short] = max(0, a), max(0, b)
-                value[short] = evidence(*left[short], all_toxic, all_clean)
-        for longer in [t for t in left if t.startswith(term)]:
-            del left[longer]
+                left[short] = max(0, left[short][0] - toxic), max(0, left[short][1] - clean)
+                worth[short] = evidence(*left[short], all_toxic, all_clean)
+                if worth[short] >= EVIDENCE:
+                    heapq.heappush(heap, (-worth[short], -k, short))
+        for longer in ordered[bisect.bisect_left(ordered, term) : bisect.bisect_right(ordered, term + "\U0010ffff")]:
+            left.pop(longer, None)
     return terms
 
 
@@ -293,7 +298,7 @@ def learn_lexicon(train: DataFrame, counts: DataFrame) -> ToxicityModel:
     if not total or not total["toxic"] or not total["clean"]:
         return ToxicityModel({})
     all_toxic, all_clean = total["toxic"], total["clean"]
-    often = (F.col("toxic") >= 4) & (F.length("term") >= SHORTEST) & (F.col("toxic") * all_clean >= 2 * F.col("clean") * all_toxic)
+    often = (F.col("toxic") >= max(4, LEAST_SHARE * all_toxic)) & (F.length("term") >= SHORTEST) & (F.col("toxic") * all_clean >= 2 * F.col("clean") * all_toxic)
     rows = counts.filter(often).collect()
     terms = choose_terms(
         {r["term"]: (r["toxic"], r["clean"]) for r in rows if not r["whole"]},
