@@ -125,6 +125,22 @@ def test_language_held_out(spark, corpus):
     assert {r.lang_pred for r in identify(docs, nothing).collect()} == {"und"}
 
 
+def test_unknown_scripts_are_rejected_at_any_length(spark):
+    rng = np.random.default_rng(7)
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    odd = spark.createDataFrame([(10**7, "Ok", "en"), (10**7 + 1, "αβγ δεζ ηθι", "en")], "doc_id long, text string, lang string")
+    model = fit_languages(docs.select("doc_id", "text", "lang").unionByName(odd), share("doc_id", 4) != 2)
+    scripts = {"greek": range(0x3B1, 0x3CA), "cyrillic": range(0x430, 0x450), "cjk": range(0x4E00, 0x5E00), "arabic": range(0x627, 0x64B)}
+    rows = []
+    for points in scripts.values():
+        for n in (10, 50, 200, 1000, 5000):
+            words = ["".join(map(chr, rng.choice(points, rng.integers(2, 9)))) for _ in range(n)]
+            rows.append((len(rows), " ".join(words)))
+    foreign = identify(spark.createDataFrame(rows, "doc_id long, text string"), model)
+    assert foreign.count() == 20 and foreign.filter("not rejected").count() == 0
+    assert known_language(docs, model).count() == docs.filter(F.col("text").rlike(r"\p{L}")).count()
+
+
 def test_exchange_reaches_a_local_best():
     rng = np.random.default_rng(3)
     true = np.repeat(np.arange(3), 4)
