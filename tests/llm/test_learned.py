@@ -96,6 +96,26 @@ def test_toxicity_held_out(corpus):
     assert kept.columns == corpus.columns and kept.filter("toxic = 1").count() < 10 and kept.count() > 460
 
 
+def test_rare_toxic_words_are_learnt(spark):
+    """Each of 150 words in under 1 % of the toxic texts; a passage that 60 of them share is no term; swapped letters."""
+    rng = np.random.default_rng(8)
+    rare = ["".join(rng.choice(list("gjkqvwxz"), 7)) for _ in range(150)]
+    passage = " ".join("".join(rng.choice(list("aeioulmn"), 9)) for _ in range(40))
+    rows = []
+    for i in range(6000):
+        words, bad = sentence(rng, "xx", 30).split(), i % 4 == 0
+        if bad:
+            words.insert(int(rng.integers(0, 30)), rare[(i // 4) % 150])
+        rows.append((i, " ".join(words) + (f" {passage}" if bad and i % 100 == 0 else ""), int(bad)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    model = fit_toxicity(docs, docs.select("doc_id", "toxic"), F.lit(True))
+    hit = [bool(model.hits([w])) for w in rare]
+    assert np.mean(hit) > 0.95
+    assert not any(model.terms.get(w[:k]) for w in passage.split() for k in range(4, 10))
+    swapped = ToxicityModel({"idiot": (6.0, True), "moron": (6.0, True), "scum": (6.0, True)})
+    assert all(swapped.hits([w]) for w in ("idoit", "mroon", "scvm", "scmu")) and not swapped.hits(["idtoi"])
+
+
 def test_toxicity_odd_rows(spark, corpus):
     odd = spark.createDataFrame([(None, "x"), (1, None), (1, ""), (2, "worthless " * 5000)], "doc_id long, text string")
     labels = corpus.select("doc_id", "toxic").union(spark.createDataFrame([(None, 1), (7, None)], "doc_id long, toxic int"))

@@ -19,15 +19,18 @@ from pyspark.sql import functions as F
 from weftlink.llm.common import slices, texts_of, unused_name
 from weftlink.session import cut_lineage
 
-#: Labelled rows that the classifier is fitted on, at most: those with the smallest hash of their key.
+#: Labelled texts that the logistic weights of the features are fitted on, at most: those with the smallest hash of their
+#: text. Terms are counted in all labelled texts.
 SAMPLE = 12_000
-#: Terms are beginnings of words of this many letters, at most this many of them; a bound on the model.
-SHORTEST, LONGEST, MOST_TERMS = 4, 12, 500
-#: A term is in at least so many times as large a share of toxic texts, and so far from chance (a log-likelihood ratio),
-#: and it is in at least this share of them: a passage that a few of them share is no term.
-RATIO, EVIDENCE, LEAST_SHARE = 3.0, 15.0, 0.01
-#: A term is kept if this many toxic texts, and this share of them, have none of the terms with more evidence.
-NEW_TEXTS, NEW_SHARE = 2, 0.002
+#: Terms are beginnings of words of this many letters, or whole shorter words.
+SHORTEST, LONGEST = 4, 12
+#: A term is in at least so many times as large a share of toxic texts, and so far from chance (a log-likelihood ratio).
+#: It also has that evidence if toxic texts with the same words around it count once: a passage they share is no term.
+RATIO, EVIDENCE = 3.0, 15.0
+#: Toxic texts that a term is in, at least: fewer have no evidence.
+FEWEST = 4
+#: A term is kept if this many toxic texts have none of the terms with more evidence.
+NEW_TEXTS = 2
 #: Share of toxic texts from which on a term is common.
 COMMON_SHARE = 0.1
 #: Share of a term's texts that hold the term as a word from which on it counts as a word and not as a stem.
@@ -36,6 +39,8 @@ WHOLE = 0.8
 WINDOW, QUOTED = 8, 0.35
 #: Words that a worker remembers; above it the memory starts anew. It changes no result.
 MEMO = 500_000
+#: Counts that a task holds before it passes them on.
+HELD_TERMS = 400_000
 SLICE_BYTES = 2 << 20
 THRESHOLD = 0.7
 #: The most that a text without a hit scores.
@@ -60,7 +65,7 @@ def plain(token: str) -> str:
 
 def distance_allowed(term: str) -> int:
     """Edits that still count as a misspelling of a term."""
-    return 0 if len(term) < 5 else 1 if len(term) < 9 else 2
+    return 0 if len(term) < 4 else 1 if len(term) < 9 else 2
 
 
 class Lexicon:
@@ -81,6 +86,13 @@ class Lexicon:
             for a, b in zip(cuts, cuts[1:]):  # noqa: B905
                 for place in range(max(0, a - edits), a + edits + 1):
                     self.pieces[term[a:b]] = self.pieces.get(term[a:b], 0) | 1 << place
+        # neighbours swapped, for terms that two edits would be too many for; of two terms the heavier
+        self.swapped: dict[str, str] = {}
+        for term in sorted(terms, key=lambda t: (terms[t][0], t)):
+            if distance_allowed(term) == 1:
+                for i in range(len(term) - 1):
+                    self.swapped[term[:i] + term[i + 1] + term[i] + term[i + 2 :]] = term
+        self.swap_sizes = sorted({len(t) for t in self.swapped})
         self.looks = sorted({(p, p + len(s)) for s, at in self.pieces.items() for p in range(at.bit_length()) if at >> p & 1})
 
     def _candidate(self, word: str) -> bool:
@@ -96,7 +108,7 @@ class Lexicon:
         The automaton of the word has a bit for each prefix of it and a row for each number of edits. Walking down
         the trie feeds it the letters of the terms; branches that leave no bit are not entered.
         """
-        if len(word) < SHORTEST - 1 or not self._candidate(word):
+        if not word or not self._candidate(word):
             return None
         n = len(word)
         masks: dict[str, int] = {}
@@ -126,6 +138,17 @@ class Lexicon:
         return (best[2], best[0]) if best else None
 
 
+    def match_swapped(self, word: str) -> tuple[str, int] | None:
+        """As ``match``; what it does not find may still be a term with two neighbouring letters swapped, one edit."""
+        found = self.match(word)
+        if found is None:
+            for size in self.swap_sizes:
+                term = self.swapped.get(word[:size])
+                if term and (size == len(word) or not self.terms[term][1] and size < len(word)):
+                    return term, 1
+        return found
+
+
 def quoted(words: list[str], at: int) -> bool:
     """Whether the word at a place is reported speech: in quotation marks, or near a word that reports and none that
     addresses someone."""
@@ -163,7 +186,7 @@ class ToxicityModel:
             new = set(words)
         for word in new:
             bare = plain(word)
-            found = self.lexicon.match(bare) if bare else None
+            found = self.lexicon.match_swapped(bare) if bare else None
             known[word] = None if found and found[1] and bare in self.innocent else found
         return [(i, *known[w]) for i, w in enumerate(words) if known[w]]
 
@@ -205,32 +228,44 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray
     return np.append(w[:-1] / std, w[-1] - (w[:-1] * mean / std).sum())
 
 
+def beginnings(word: str) -> list[str]:
+    """What of a word may be a term: its beginnings, or a shorter word as it is."""
+    if len(word) < SHORTEST:
+        return [word] if word else []
+    return [word[:k] for k in range(SHORTEST, min(len(word), LONGEST) + 1)]
+
+
 def _term_counts(train: DataFrame) -> DataFrame:
     """``half, term, whole, toxic, clean``: texts that hold each beginning of a word, and each word; all texts at ''."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: tuple[Counter, Counter] = Counter(), Counter()
+
+        def found() -> pa.RecordBatch:
+            keys = list(held[0].keys() | held[1].keys())
+            arrays = [
+                pa.array([k[0] for k in keys], pa.int32()),
+                pa.array([k[1] for k in keys], pa.string()),
+                pa.array([k[2] for k in keys], pa.bool_()),
+                pa.array([held[1][k] for k in keys], pa.int64()),
+                pa.array([held[0][k] for k in keys], pa.int64()),
+            ]
+            return pa.RecordBatch.from_arrays(arrays, names=["half", "term", "whole", "toxic", "clean"])
+
         for batch in batches:
             for rows in slices(batch, "text", SLICE_BYTES):
-                held: tuple[Counter, Counter] = Counter(), Counter()
                 values = zip(rows.column("half").to_pylist(), rows.column("toxic").to_pylist(), texts_of(rows, "text"), strict=True)
                 for half, toxic, text in values:
                     words = set(map(plain, text.lower().split()))
-                    starts = {w[:k] for w in words for k in range(SHORTEST, min(len(w), LONGEST) + 1)}
+                    starts = {s for w in words for s in beginnings(w)}
                     held[toxic].update((half, start, False) for start in starts)
                     held[toxic].update((half, w, True) for w in words if w)
                     held[toxic][half, "", False] += 1
-                counts = {key: (held[0][key], held[1][key]) for key in held[0].keys() | held[1].keys()}
-                keys = list(counts)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([k[0] for k in keys], pa.int32()),
-                        pa.array([k[1] for k in keys], pa.string()),
-                        pa.array([k[2] for k in keys], pa.bool_()),
-                        pa.array([counts[k][1] for k in keys], pa.int64()),
-                        pa.array([counts[k][0] for k in keys], pa.int64()),
-                    ],
-                    names=["half", "term", "whole", "toxic", "clean"],
-                )
+                if len(held[0]) + len(held[1]) > HELD_TERMS:
+                    yield found()
+                    held[0].clear()
+                    held[1].clear()
+        yield found()
 
     schema = "half int, term string, whole boolean, toxic long, clean long"
     parts = train.select("half", "toxic", "text").mapInArrow(count, schema)
@@ -247,6 +282,42 @@ def evidence(toxic: float, clean: float, all_toxic: float, all_clean: float) ->
     return 2 * g
 
 
+def _evidence_of(all_toxic: int, all_clean: int) -> Column:
+    """``evidence`` as an expression of the columns ``toxic`` and ``clean``, a little too large rather than too small."""
+    rate = (F.col("toxic") + F.col("clean")) / F.lit(float(all_toxic + all_clean))
+    g = F.lit(1e-6)
+    for held, n in (("toxic", float(all_toxic)), ("clean", float(all_clean))):
+        h = F.col(held)
+        g += F.when(h > 0, h * F.ln(h / (n * rate))).otherwise(0.0)
+        g += F.when(h < n, (n - h) * F.ln((n - h) / (n * (1 - rate)))).otherwise(0.0)
+    return 2 * g
+
+
+def _different_contexts(train: DataFrame, terms: frozenset[str]) -> dict[str, int]:
+    """For each term the different pairs of words before it in toxic texts, or after it if those are fewer.
+
+    Copies of a passage count once, and so do its first and last word.
+    """
+
+    def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for rows in slices(batch, "text", SLICE_BYTES):
+                seen = set()
+                for text in texts_of(rows, "text"):
+                    words = list(map(plain, text.lower().split()))
+                    for i, w in enumerate(words):
+                        for start in beginnings(w):
+                            if start in terms:
+                                seen.add((start, False, " ".join(words[max(0, i - 2) : i])))
+                                seen.add((start, True, " ".join(words[i + 1 : i + 3])))
+                names = ["term", "after", "words"]
+                yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in seen], t) for k, t in enumerate((pa.string(), pa.bool_(), pa.string()))], names=names)
+
+    sides = train.filter("toxic = 1").select("text").mapInArrow(contexts, "term string, after boolean, words string")
+    sides = sides.distinct().groupBy("term", "after").count()
+    return {r["term"]: r["n"] for r in sides.groupBy("term").agg(F.min("count").alias("n")).collect()}
+
+
 def choose_terms(counts: dict[str, tuple[int, int]], words: dict[str, int], all_toxic: int, all_clean: int) -> dict[str, tuple[float, bool]]:
     """Terms by evidence. What a chosen term explains is taken from its beginnings, about; longer ones are dropped."""
     left, ordered = dict(counts), sorted(counts)
@@ -254,14 +325,16 @@ def choose_terms(counts: dict[str, tuple[int, int]], words: dict[str, int], all_
     heap = [(-v, -len(t), t) for t, v in worth.items() if v >= EVIDENCE]
     heapq.heapify(heap)
     terms: dict[str, tuple[float, bool]] = {}
-    while heap and len(terms) < MOST_TERMS:
+    while heap:
         value, _, term = heapq.heappop(heap)
         if term not in left or -value != worth[term]:
             continue  # dropped, or in the heap again with what is left of it
         toxic, clean = left[term]
         ratio = (toxic + 0.1) / (clean + 0.5) * all_clean / all_toxic
-        if ratio >= RATIO and toxic >= LEAST_SHARE * all_toxic:
+        if ratio >= RATIO:
             terms[term] = math.log(ratio), words.get(term, 0) >= WHOLE * toxic
+        if len(term) < SHORTEST:
+            continue  # a word of its own, no beginning of others
         for k in range(SHORTEST, len(term)):
             if (short := term[:k]) in left:
                 left[short] = max(0, left[short][0] - toxic), max(0, left[short][1] - clean)
@@ -273,21 +346,30 @@ def choose_terms(counts: dict[str, tuple[int, int]], words: dict[str, int], all_
     return terms
 
 
-def needed_terms(terms: dict[str, tuple[float, bool]], found: list[set[str]]) -> dict[str, tuple[float, bool]]:
+def needed_terms(terms: dict[str, tuple[float, bool]], found: list[set[str]], times: list[int] | None = None) -> dict[str, tuple[float, bool]]:
     """Terms, in order of evidence, that toxic texts need: what only goes along with other terms is left out.
 
-    ``found`` has the terms in each toxic text. Copies of one toxic passage share many words, but also its terms. A
-    common term also stays without new texts of its own, if no kept term is in much the same texts.
+    ``found`` has the terms in each toxic text, or each set of terms that ``times`` texts have. A common term also stays
+    without new texts of its own, if no kept term is in much the same texts.
     """
+    times = [1] * len(found) if times is None else times
+    places: dict[str, set[int]] = {}
+    for i, f in enumerate(found):
+        for term in f:
+            places.setdefault(term, set()).add(i)
     kept: dict[str, set[int]] = {}
     covered: set[int] = set()
+    common: dict[str, set[int]] = {}
+    total, weigh = sum(times), lambda places: sum(times[i] for i in places)
     for term in terms:
-        texts = {i for i, f in enumerate(found) if term in f}
-        common = len(texts) >= COMMON_SHARE * len(found) > 0
-        if len(texts - covered) >= max(NEW_TEXTS, NEW_SHARE * len(found)) or (
-            common and all(2 * len(texts & other) < len(texts | other) for other in kept.values())
-        ):
+        texts = places.get(term, set())
+        often = weigh(texts) >= COMMON_SHARE * total > 0
+        # a term in much the same texts as a common one is at least half as common
+        alike = lambda other: 2 * weigh(texts & other) >= weigh(texts | other)
+        if weigh(texts - covered) >= NEW_TEXTS or (often and not any(map(alike, common.values()))):
             kept[term] = texts
+            if 2 * weigh(texts) >= COMMON_SHARE * total:
+                common[term] = texts
             covered |= texts
     return {term: terms[term] for term in kept}
 
@@ -298,12 +380,19 @@ def learn_lexicon(train: DataFrame, counts: DataFrame) -> ToxicityModel:
     if not total or not total["toxic"] or not total["clean"]:
         return ToxicityModel({})
     all_toxic, all_clean = total["toxic"], total["clean"]
-    often = (F.col("toxic") >= max(4, LEAST_SHARE * all_toxic)) & (F.length("term") >= SHORTEST) & (F.col("toxic") * all_clean >= 2 * F.col("clean") * all_toxic)
-    rows = counts.filter(often).collect()
-    terms = choose_terms(
-        {r["term"]: (r["toxic"], r["clean"]) for r in rows if not r["whole"]},
-        {r["term"]: r["toxic"] for r in rows if r["whole"]}, all_toxic, all_clean,
-    )
+    # only what has the evidence is collected; what has less never becomes a term
+    often = (F.col("toxic") >= FEWEST) & (F.col("term") != "") & (F.col("toxic") * all_clean >= 2 * F.col("clean") * all_toxic)
+    rows = [r for r in counts.filter(often & (_evidence_of(all_toxic, all_clean) >= EVIDENCE)).collect()]
+    starts = {r["term"]: (r["toxic"], r["clean"]) for r in rows if not r["whole"]}
+    once = _different_contexts(train, frozenset(starts))
+
+    def holds(term: str, toxic: int, clean: int) -> bool:
+        """Whether there is evidence if copies of a passage count once; the clean texts are taken down as much."""
+        n = min(toxic, once.get(term, 0))
+        return n >= FEWEST and evidence(n, clean * n / toxic, all_toxic, all_clean) >= EVIDENCE
+
+    starts = {t: c for t, c in starts.items() if holds(t, *c)}
+    terms = choose_terms(starts, {r["term"]: r["toxic"] for r in rows if r["whole"]}, all_toxic, all_clean)
     trial = ToxicityModel(terms)
 
     def terms_in(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -311,9 +400,9 @@ def learn_lexicon(train: DataFrame, counts: DataFrame) -> ToxicityModel:
             held = [sorted({t for _, t, edits in trial.hits(v.lower().split()) if not edits}) for v in texts_of(batch, "text")]
             yield pa.RecordBatch.from_arrays([pa.array(held, pa.list_(pa.string()))], names=["terms"])
 
-    # one row for each toxic text of the sample
-    found = train.filter("toxic = 1").select("text").mapInArrow(terms_in, "terms array<string>").collect()
-    model = ToxicityModel(needed_terms(terms, [set(r["terms"]) for r in found]))
+    # one row for each set of terms that occurs
+    found = train.filter("toxic = 1").select("text").mapInArrow(terms_in, "terms array<string>").groupBy("terms").count().collect()
+    model = ToxicityModel(needed_terms(terms, [set(r["terms"]) for r in found], [r["count"] for r in found]))
 
     def lookalikes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Words of clean texts that the lexicon takes for misspellings."""
@@ -333,22 +422,23 @@ def learn_lexicon(train: DataFrame, counts: DataFrame) -> ToxicityModel:
 def fit_toxicity(docs: DataFrame, labels: DataFrame, learn: Column, key: str = "doc_id", text: str = "text", sample: int = SAMPLE) -> ToxicityModel:
     """Learn from labelled rows where ``learn`` (on the key) holds; labels with a null key or value say nothing.
 
-    At most ``sample`` rows are used, copies of a text once. The logistic weights come from features of each half of
-    the texts by the lexicon of the other half, so they know how often an unknown word deceives; the lexicon itself
-    is that of both. Without both classes no text scores above 0.
+    All of them are used, copies of a text once. The logistic weights come from features of each half of
+    the texts, ``sample`` of both at most, by the lexicon of the other half, so they know how often an unknown word
+    deceives; the lexicon itself is that of both. Without both classes no text scores above 0.
     """
     known = labels.filter(F.col(key).isNotNull() & F.col("toxic").isNotNull() & learn)
     known = known.groupBy(key).agg(F.max("toxic").cast("int").alias("toxic"))
-    chosen = known.orderBy(F.xxhash64(key), key).limit(sample)
-    # the sample's size is bounded, so it can be sent to all tasks
-    train = docs.select(F.col(key), F.coalesce(F.col(text), F.lit("")).alias("text")).join(F.broadcast(chosen), key)
+    train = docs.select(F.col(key), F.coalesce(F.col(text), F.lit("")).alias("text")).join(known, key)
     train = train.groupBy("text").agg((F.max("toxic") > 0).cast("int").alias("toxic"))
     train = cut_lineage(train.withColumn("half", F.pmod(F.xxhash64("text"), F.lit(2)).cast("int")))
     counts = cut_lineage(_term_counts(train))
+    n = train.count()
+    # a bound on a spread hash of the text, which leaves about the sample of both halves
+    near = F.lit(True) if n <= sample else F.pmod(F.xxhash64("text", F.lit(1)), F.lit(1 << 30)) < int((1 << 30) * sample / n)
     made = []
     for half in (0, 1):
         other = learn_lexicon(train.filter(F.col("half") != half), counts.filter(F.col("half") != half))
-        rows = train.filter(F.col("half") == half)
+        rows = train.filter((F.col("half") == half) & near)
         made.append(rows.select("toxic", "text").mapInArrow(_feature_rows(other), "toxic int, x array<double>").toPandas())
     rows = pd.concat(made)
     both = counts.groupBy("term", "whole").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
