@@ -234,3 +234,12 @@ def test_workflow(spark, tmp_path):
     save_figure(matrix_svg(matrix, "means"), str(tmp_path / "fig"), "m")
     assert "m.svg" in download_line(str(tmp_path / "fig"), "m")
     assert "0.500" in report_page("r", [("c", matrix_svg(matrix, "means"))]) and "&lt;" in index_page("i", [("f", "<n>", "t")])
+
+
+def test_topics_are_fitted_on_all_rows(spark):
+    from weftlink.registry.topics import topic_assignment
+
+    sf = "/root/testdata/sf0.001"
+    got = topic_assignment(spark, sf)
+    assert {r.topic_source for r in got.select("topic_source").distinct().collect()} == {"embedding"}
+    assert got.count() == spark.read.parquet(f"{sf}/embeddings.parquet").count()
