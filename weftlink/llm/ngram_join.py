@@ -42,7 +42,12 @@ def gram_sets(texts: list[str], words: int = WORDS) -> tuple[np.ndarray, np.ndar
     Words are lower case, cut at white space. A text of fewer words than an n-gram is one n-gram; one of no words
     has none. A text's hashes are distinct and ascend.
     """
-    raw = [b" %b " % t.lower().encode("utf-8", "surrogatepass") for t in texts]
+    return byte_gram_sets([t.lower().encode("utf-8", "surrogatepass") for t in texts], words)
+
+
+def byte_gram_sets(texts: list[bytes], words: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
+    """``gram_sets`` of texts in UTF-8 whose letters already have the case that counts."""
+    raw = [b" %b " % t for t in texts]
     data = np.frombuffer(b"".join(raw), dtype=np.uint8)
     blank = (data == 32) | ((data >= 9) & (data <= 13))
     first = np.flatnonzero(~blank[1:] & blank[:-1]) + 1

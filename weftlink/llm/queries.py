@@ -8,7 +8,10 @@ from pyspark.sql import functions as F
 from weftlink.llm.byte_bpe import byte_bpe_digests
 from weftlink.llm.chat import conversation_digests, format_conversations
 from weftlink.llm.class_lm import fit_class_model, score_texts
+from weftlink.llm.collocations import collocations, collocations_sql
 from weftlink.llm.common import share
+from weftlink.llm.dim_kmeans import lloyd, lloyd_sql
+from weftlink.llm.hyperminhash import near_duplicates, near_duplicates_sql
 from weftlink.llm.language import fit_languages, identify
 from weftlink.llm.ngram_join import similarity_classes
 from weftlink.llm.packing import pack_documents
@@ -73,6 +76,18 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similarity_classes(_table(spark, sf_dir, "documents"))
 
 
+def op11_hyperminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(_table(spark, sf_dir, "documents"))
+
+
+def op12_dim_kmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lloyd(_table(spark, sf_dir, "embeddings"))
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(_table(spark, sf_dir, "documents")).drop("goes_left", "goes_right")
+
+
 LLM_QUERIES = {
     "op1_token_store": op1_token_store,
     "op2_phrase_fingerprint": op2_phrase_fingerprint,
@@ -84,6 +99,13 @@ LLM_QUERIES = {
     "op8_class_lm": op8_class_lm,
     "op9_language": op9_language,
     "op10_ngram_join": op10_ngram_join,
+    "op11_hyperminhash": op11_hyperminhash,
+    "op12_dim_kmeans": op12_dim_kmeans,
+    "op13_collocations": op13_collocations,
+}
+#: The other operators have no form in plain SQL; tests/llm compares them with brute force.
+LLM_SQL: dict[str, str] = {
+    "op11_hyperminhash": near_duplicates_sql(),
+    "op12_dim_kmeans": lloyd_sql(),
+    "op13_collocations": collocations_sql(),
 }
-#: None of the operators has a form in plain SQL; tests/llm compares them with brute force.
-LLM_SQL: dict[str, str] = {}
