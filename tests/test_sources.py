@@ -186,10 +186,10 @@ def test_topics(spark):
     corpus = spark.createDataFrame(rows, "id string, embedding array<double>, text string")
     keys = corpus.filter("id in ('1', '3')").withColumn("id", F.concat(F.lit("k"), "id"))
     late = spark.createDataFrame([("1", [1.0, 0.0, 0.0]), ("f", [1.0, 0.0, 0.1])], "id string, embedding array<double>")
-    settings = TopicSettings(sample_size=20, n_topics=2, min_topic_size=3, components=2)
+    settings = TopicSettings(sample_size=20, min_topic_size=3, min_samples=2, components=2)
     topics = assign_all(corpus.drop("text"), keys.drop("text"), settings, late)
     assert {r.topic_source: r["count"] for r in topics.groupBy("topic_source").count().collect()} == {
-        "embedding": 22, "transferred": 20, "fallback": 1,
+        "embedding": 22, "transferred": 20, "transfer": 1,
     }
     docs = topics.join(corpus.select("id", "text"), "id")
     info = topic_info(topics, top_words(topic_terms(docs, [], (1, 2)), 2), 2).collect()
