@@ -100,6 +100,27 @@ def replace_partitions(df: DataFrame, path: str, partition_by: list[str]) -> str
     return path
 
 
+def drop_partitions(values: DataFrame, path: str, partition_by: list[str]) -> int:
+    """Remove the folders of some partition values, given as one row each; returns how many were there.
+
+    Spark knows the folders: a partition's files name theirs. Values without rows are not touched.
+    """
+    spark = values.sparkSession
+    tree = read_tree(spark, path)
+    if not set(partition_by) <= set(tree.columns):
+        return 0
+    names = values.select(*[F.col(c).cast("string").alias(c) for c in partition_by])
+    of_file = tree.select(*[F.col(c).cast("string").alias(c) for c in partition_by], F.col("_metadata.file_path").alias("f"))
+    folder = F.regexp_replace("f", "/[^/]*$", "")
+    folders = [r.f for r in of_file.join(names, partition_by, "left_semi").select(folder.alias("f")).distinct().collect()]
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    for f in folders:
+        at = hadoop.Path(spark._jvm.java.net.URI(f))
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    spark.catalog.refreshByPath(path)
+    return len(folders)
+
+
 def compact(spark: SparkSession, source: str, target: str, rows_per_file: int = ROWS_PER_FILE) -> int:
     """Rewrite shards as few large files with a ``batch`` column from their names; rows are verified.
 

@@ -21,7 +21,9 @@ from weftlink.operators.definitions import prepare_definitions
 from weftlink.operators.embedding import Backend, current_vectors, embed_works, leaf_path, title_abstract_text
 from weftlink.operators.links import linked_pairs
 from weftlink.operators.resolve import assessment_of, extract_citations, reference_index, resolve_citations
-from weftlink.sources.parquet import rebuild
+from weftlink.sources.paged import fetch_ids
+from weftlink.sources.parquet import read_tree, rebuild
+from weftlink.streaming.library import known_ids, sync_ids, sync_library
 
 
 def input_mark(df: DataFrame) -> str:
@@ -81,6 +83,21 @@ class Store:
         self.spark.createDataFrame([], "value string").coalesce(1).write.mode("overwrite").text(self._mark_path(name))
 
 
+def sync_libraries(spark: SparkSession, root: str, settings: Settings, fetch=fetch_ids, **options: str) -> tuple[DataFrame, DataFrame]:
+    """The libraries of all assessments brought up to date, and the ids of their DOIs: ``library`` and ``ids``.
+
+    ``settings.assessments`` has ``group`` (and ``key``, ``path``) of each label. What did not change is not read
+    again, and a DOI is asked for once. ``library`` has ``assessment`` and ``chapter`` from its folders.
+    """
+    store = Store(spark, root)
+    for label, spec in sorted(settings.assessments.items()):
+        known = {k: str(v) for k, v in spec.items() if k in ("key", "path") and v}
+        sync_library(spark, store.path("library"), label, store.path(f"_checkpoints/{label}"), str(spec["group"]), **known, **options)
+    library = read_tree(spark, store.path("library"))
+    sync_ids(library, store.path("ids"), fetch, settings.workers)
+    return library, known_ids(spark, store.path("ids"))
+
+
 def link_definitions(
     spark: SparkSession,
     root: str,
