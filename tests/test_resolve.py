@@ -33,6 +33,23 @@ def test_near_names_finds_every_pair(spark):
         assert got == {(c, k, edits(c, k)) for c in cited for k in known if edits(c, k) <= cap(k, most)}
 
 
+def test_crowded_names_are_split(spark):
+    """Names that share their first letters meet in parts; long names differ after the letters that deletions are made in."""
+    from pyspark.sql import functions as F
+
+    from weftlink.operators.resolve import deletion_keys
+
+    rng = random.Random(3)
+    name = lambda: "internationalabc" + "".join(rng.choice("abcdef") for _ in range(6))
+    cited, known = {name() for _ in range(80)} | {"", "a", "ab"}, {name() for _ in range(400)} | {"b", "ba"}
+    rows = lambda names: spark.createDataFrame([("x", n) for n in sorted(names)], "assessment string, author_key string")
+    got = [(r.author_key, r.ref_key, r.distance) for r in near_names(rows(cited), rows(known), group=16).collect()]
+    assert len(got) == len(set(got))
+    assert set(got) == {(c, k, edits(c, k)) for c in cited for k in known if edits(c, k) <= cap(k)}
+    most = rows({"z" * 200}).select(F.size(deletion_keys(F.col("author_key"), 2)).alias("n")).first().n
+    assert most == 3 and len(set(rows({"abcdefghijklmnop"}).select(deletion_keys(F.col("author_key"), 2).alias("k")).first().k)) == 1 + 12 + 66
+
+
 def library(spark):
     items = spark.createDataFrame(
         [

@@ -18,6 +18,11 @@ LOOSE_MAX_DISTANCE = 2
 LOOSE_YEAR_WINDOW = 1
 # -------------------------------------------------------------------------------------------
 
+#: Letters of a name that deletions are made in; the rest is compared only when the names meet.
+LED_BY = 12
+#: Reference names of one key that a task holds.
+NAMES_IN_GROUP = 256
+
 
 def extract_citations(definitions: DataFrame, text: str = "abstract_raw") -> DataFrame:
     """One row per citation token of each definition, numbered in order from 1."""
@@ -120,64 +125,48 @@ def distance_cap(length: Column, max_distance: int) -> Column:
     return F.least(F.lit(max_distance), F.floor(length / 3) + 1).cast("int")
 
 
-def _segment(length: Column, cap: Column, i: Column) -> tuple[Column, Column]:
-    """1-based start and size of piece i when a name is cut into cap + 1 pieces, the last ones longer."""
-    pieces = cap + 1
-    size = F.floor(length / pieces).cast("int")
-    short = (pieces - length % pieces).cast("int")
-    return (i * size + F.greatest(i - short, F.lit(0)) + 1).cast("int"), size + F.when(i >= short, 1).otherwise(0)
-
-
-def near_names(cited: DataFrame, known: DataFrame, max_distance: int = LOOSE_MAX_DISTANCE) -> DataFrame:
-    """Pairs of distinct names within the allowed edits: ``assessment, author_key, ref_key, distance``.
-
-    k edits cannot touch all of k + 1 pieces, so a cited name within k edits of a reference name holds
-    one of its pieces, moved by at most k places. Joining on (library, length, piece) finds every such
-    pair without comparing all names.
-    """
-    ref_len = F.length("ref_key")
-    cap = distance_cap(ref_len, max_distance)
-
-    def piece(i: Column) -> Column:
-        start, size = _segment(ref_len, cap, i)
-        return F.struct(i.alias("i"), F.substring(F.col("ref_key"), start, size).alias("text"))
-
-    pieces = known.select("assessment", F.col("author_key").alias("ref_key")).distinct().select(
-        "assessment", "ref_key", F.explode(F.transform(F.sequence(F.lit(0), cap), piece)).alias("p")
-    ).select("assessment", "ref_key", F.length("ref_key").alias("len"), F.col("p.i").alias("i"), F.col("p.text").alias("text"))
-
-    name = F.col("author_key")
-    own_len = F.length(name)
+def deletion_keys(name: Column, most: int) -> Column:
+    """Hashes of what is left of a name's first letters when up to ``most`` of them are deleted."""
 
-    def at_length(n: Column) -> Column:
-        k = distance_cap(n, max_distance)
+    def shorter(v: Column) -> Column:
+        cuts = F.transform(F.sequence(F.lit(1), F.length(v)), lambda i: F.concat(F.substring(v, F.lit(1), i - 1), F.substring(v, i + 1, F.length(v))))
+        return F.when(F.length(v) > 0, cuts).otherwise(F.array().cast("array<string>"))
 
-        def of_piece(i: Column) -> Column:
-            start, size = _segment(n, k, i)
-            low, high = F.greatest(start - k, F.lit(1)), F.least(start + k, own_len - size + 1)
-            cuts = F.transform(
-                F.sequence(low, high),
-                lambda s: F.struct(n.alias("len"), i.alias("i"), F.substring(name, s, size).alias("text")),
-            )
-            return F.when(low <= high, cuts).otherwise(F.array().cast("array<struct<len:int,i:int,text:string>>"))
+    level = F.array(F.substring(name, 1, LED_BY))
+    levels = [level]
+    for _ in range(most):
+        level = F.array_distinct(F.flatten(F.transform(level, shorter)))
+        levels.append(level)
+    return F.transform(F.array_distinct(F.concat(*levels)), lambda v: F.xxhash64(v))
 
-        reach = F.abs(n - own_len) <= k
-        found = F.flatten(F.transform(F.sequence(F.lit(0), k), of_piece))
-        return F.when(reach, found).otherwise(F.array().cast("array<struct<len:int,i:int,text:string>>"))
 
-    lengths = F.sequence(F.greatest(own_len - max_distance, F.lit(1)), own_len + max_distance)
-    probes = cited.select("assessment", "author_key").distinct().select(
-        "assessment", "author_key", F.explode(F.array_distinct(F.flatten(F.transform(lengths, at_length)))).alias("p")
-    ).select("assessment", "author_key", F.col("p.len").alias("len"), F.col("p.i").alias("i"), F.col("p.text").alias("text"))
+def near_names(
+    cited: DataFrame, known: DataFrame, max_distance: int = LOOSE_MAX_DISTANCE, group: int = NAMES_IN_GROUP
+) -> DataFrame:
+    """Pairs of distinct names within the allowed edits: ``assessment, author_key, ref_key, distance``.
 
+    Two names within k edits become equal by deleting k letters at most of each, and so do their first letters. So
+    an equi-join on what deletions leave of the first ``LED_BY`` letters finds every such pair; what remains is nearly the whole
+    name, so few others meet. A remainder that more than about ``group`` reference names share is split by a hash of
+    the reference name, and the cited names are copied to its parts: no task gets it whole.
+    """
+    refs = known.select("assessment", F.col("author_key").alias("ref_key")).distinct()
+    refs = refs.select("assessment", "ref_key", F.explode(deletion_keys(F.col("ref_key"), max_distance)).alias("v"))
+    probes = cited.select("assessment", "author_key").distinct()
+    probes = probes.select("assessment", "author_key", F.explode(deletion_keys(F.col("author_key"), max_distance)).alias("v"))
+    parts = F.ceil(F.col("n") / group).cast("int")
+    crowded = refs.groupBy("assessment", "v").agg(F.count("*").alias("n")).filter(F.col("n") > group)
+    crowded = crowded.select("assessment", "v", parts.alias("parts"))
+    key = ["assessment", "v"]
+    refs = refs.join(crowded, key, "left").withColumn("part", F.coalesce(F.pmod(F.xxhash64("ref_key"), F.col("parts")), F.lit(0)).cast("int"))
+    probes = probes.join(crowded, key, "left").withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("parts"), F.lit(1)) - 1)))
+    pairs = probes.drop("parts").join(refs.drop("parts"), [*key, "part"])
+    # a pair meets at several remainders; lengths say at once that most of the others are too far apart
+    pairs = pairs.filter(F.abs(F.length("author_key") - F.length("ref_key")) <= distance_cap(F.length("ref_key"), max_distance))
+    pairs = pairs.select("assessment", "author_key", "ref_key").distinct()
     distance = F.levenshtein(F.col("author_key"), F.col("ref_key"), max_distance)
-    return (
-        probes.join(pieces, ["assessment", "len", "i", "text"])
-        .withColumn("distance", distance)
-        .filter((F.col("distance") >= 0) & (F.col("distance") <= distance_cap(F.col("len"), max_distance)))
-        .select("assessment", "author_key", "ref_key", "distance")
-        .distinct()
-    )
+    near = pairs.withColumn("distance", distance)
+    return near.filter((F.col("distance") >= 0) & (F.col("distance") <= distance_cap(F.length("ref_key"), max_distance)))
 
 
 def loose_matches(

@@ -37,21 +37,23 @@ from weftlink.operators.resolve import (
 from weftlink.registry.base import literal, query, table, texts
 from weftlink.session import cut_lineage
 
-WORD = "[A-Za-zÀ-ÿ]+"
-
-
-def _name(words, i: int):
-    word = F.coalesce(F.get(words, i), F.lit("Anon"))
-    return F.concat(F.upper(F.substring(word, 1, 1)), F.substring(word, 2, 1000000))
+# a capitalised word; every one of a text is a name
+NAME = "[A-ZÀ-Þ][A-Za-zÀ-ÿ]+"
 
 
 def named_documents(spark, sf_dir):
-    """Documents with four names from their words and two years."""
+    """Documents with ``names``, all different capitalised words of the whole text in order, and two years.
+
+    ``n1`` to ``n4`` are taken from all over the list by the document's number.
+    """
     docs = texts(spark, sf_dir, "documents")
-    words = F.regexp_extract_all("text", F.lit(WORD), F.lit(0))
-    return docs.withColumn("words", words).select(
-        "doc_id", "text", "lang", "source",
-        *[_name(F.col("words"), i).alias(f"n{i}") for i in range(1, 5)],
+    names = F.array_sort(F.array_distinct(F.regexp_extract_all("text", F.lit(NAME), F.lit(0))))
+    some = docs.withColumn("names", F.when(F.size(names) > 0, names).otherwise(F.array(F.lit("Anon"))))
+    picked = [
+        F.element_at("names", (F.pmod(F.col("doc_id") * i, F.size("names")) + 1).cast("int")).alias(f"n{i}") for i in range(1, 5)
+    ]
+    return some.select(
+        "doc_id", "text", "lang", "source", "names", *picked,
         (1990 + F.col("n_chars") % 30).cast("int").alias("y1"),
         (1990 + F.col("doc_id") % 30).cast("int").alias("y2"),
     )
@@ -63,7 +65,7 @@ def citing_documents(spark, sf_dir):
     body = F.concat(
         F.col("text"), F.lit(" "), F.col("n1"), F.lit(" et al. ("), F.col("y1"), F.lit(") and (e.g. "), F.col("n2"),
         F.lit(" & "), F.col("n3"), F.lit(", "), F.col("y2"), F.lit("a; see also van "), F.col("n4"),
-        F.lit(", 1999, 2001)."),
+        F.lit(", 1999, 2001; "), F.array_join("names", ", 2004; "), F.lit(", 2004)."),
     )
     return named.select(
         F.col("lang").alias("keyset"), F.col("doc_id").cast("string").alias("id"), F.col("source").alias("source_id"),
@@ -71,20 +73,16 @@ def citing_documents(spark, sf_dir):
     )
 
 
-def _name_sql(i: int) -> str:
-    word = f"coalesce(words[{i + 1}], 'Anon')"
-    return f"replace(upper(substr({word}, 1, 1)), 'ẞ', 'SS') || substr({word}, 2) AS n{i}"
-
-
 DOCS = f"""
-  worded AS (SELECT *, regexp_extract_all(text, '{WORD}') AS words FROM documents),
+  worded AS (SELECT *, list_sort(list_distinct(regexp_extract_all(text, '{NAME}'))) AS found FROM documents),
+  listed AS (SELECT *, CASE WHEN len(found) > 0 THEN found ELSE ['Anon'] END AS names FROM worded),
   named AS (
-    SELECT doc_id, text, lang, source, {", ".join(_name_sql(i) for i in range(1, 5))},
-           1990 + n_chars % 30 AS y1, 1990 + doc_id % 30 AS y2 FROM worded),
+    SELECT doc_id, text, lang, source, names, {", ".join(f"names[(doc_id * {i}) % len(names) + 1] AS n{i}" for i in range(1, 5))},
+           1990 + n_chars % 30 AS y1, 1990 + doc_id % 30 AS y2 FROM listed),
   citing AS (
     SELECT lang AS keyset, CAST(doc_id AS VARCHAR) AS id, source AS source_id,
            text || ' ' || n1 || ' et al. (' || y1 || ') and (e.g. ' || n2 || ' & ' || n3 || ', ' || y2
-             || 'a; see also van ' || n4 || ', 1999, 2001).' AS abstract_raw
+             || 'a; see also van ' || n4 || ', 1999, 2001; ' || array_to_string(names, ', 2004; ') || ', 2004).' AS abstract_raw
     FROM named)"""
 
 TRIM = "E' \\t\\r\\n'"
@@ -200,14 +198,17 @@ def surname_keys(spark, sf_dir):
 
 # ---- library ------------------------------------------------------------------------------
 def library_items(spark, sf_dir):
-    """Documents as library items; French ones carry a misspelt lead author, German ones no DOI."""
+    """Documents as library items; French ones carry a misspelt lead author, German ones no DOI.
+
+    All names of a text are its authors, the third pick once more with a particle.
+    """
     named = named_documents(spark, sf_dir)
     lead = F.when(F.col("lang") == "fr", F.concat(F.expr("substr(n1, 1, length(n1) - 1)"), F.lit("x"))).otherwise(F.col("n1"))
     return named.select(
         F.when(F.col("lang") == "en", F.lit("first")).otherwise(F.lit("second")).alias("assessment"),
         F.col("doc_id").cast("string").alias("key"),
         lead.alias("first_author"),
-        F.concat(lead, F.lit("; van "), F.col("n3")).alias("authors"),
+        F.concat(lead, F.lit("; van "), F.col("n3"), F.lit("; "), F.array_join("names", "; ")).alias("authors"),
         F.concat(F.col("y1"), F.lit("-03-01")).alias("year"),
         F.when(F.col("lang") != "de", F.concat(F.lit("https://doi.org/10.1234/ABC"), F.col("doc_id"))).alias("doi"),
         "doc_id",
@@ -256,7 +257,8 @@ INDEX = f"""{EXTRACTED},
     WHERE coalesce(w.id, z.id) IS NOT NULL),
   authors AS (
     SELECT assessment, corpus_id, doc_id, y1 AS year, 0 AS pos, lead AS name FROM placed
-    UNION ALL SELECT assessment, corpus_id, doc_id, y1, 1, 'van ' || n3 FROM placed),
+    UNION ALL SELECT assessment, corpus_id, doc_id, y1, 1, 'van ' || n3 FROM placed
+    UNION ALL SELECT assessment, corpus_id, doc_id, y1, 1 + generate_subscripts(names, 1), unnest(names) FROM placed),
   indexed AS (
     SELECT assessment, corpus_id, coalesce(author_key, {author_key_sql("name")}) AS author_key, CAST(year AS INT) AS year,
            pos = 0 AS is_first, min(struct_pack(d := doc_id, p := pos)) AS ordinal
@@ -272,7 +274,7 @@ INDEX = f"""{EXTRACTED},
     SELECT w.assessment, w.author_key, w.year, i.corpus_id, i.author_key AS ref_key, i.ordinal,
            levenshtein(w.author_key, i.author_key) AS d
     FROM strict w JOIN indexed i ON w.assessment = i.assessment AND abs(i.year - w.year) <= 1
-    WHERE w.matched_id IS NULL
+    WHERE w.matched_id IS NULL AND abs(length(w.author_key) - length(i.author_key)) <= 2
       AND levenshtein(w.author_key, i.author_key) <= least(2, floor(length(i.author_key) / 3) + 1)),
   loose AS (
     SELECT assessment, author_key, year, corpus_id AS matched_id,

@@ -51,7 +51,7 @@ def json_items(spark, sf_dir):
     data = F.struct(
         F.concat_ws("-", "conv_id", "turn").alias("key"),
         F.col("role").alias("itemType"),
-        F.substring("text", 1, 40).alias("title"),
+        F.col("text").alias("title"),
         F.array(
             F.struct(F.lit("").alias("lastName"), F.concat(F.lit("Group "), "conv_id").alias("name")),
             F.struct(F.col("role").alias("lastName"), F.lit(None).cast("string").alias("name")),
@@ -73,7 +73,7 @@ def json_items(spark, sf_dir):
 
 ITEMS = """
   items AS (
-    SELECT conv_id || '-' || turn AS key, role AS item_type, substr(text, 1, 40) AS title,
+    SELECT conv_id || '-' || turn AS key, role AS item_type, text AS title,
            'Group ' || conv_id || '; ' || role AS authors, 'Group ' || conv_id AS first_author,
            CAST(1990 + turn AS VARCHAR) AS year, CAST(NULL AS VARCHAR) AS doi, text AS abstract,
            CASE WHEN role = 'user' THEN 'chapter ' || (turn + 1) || '; Chapter 9; method' END AS tags,

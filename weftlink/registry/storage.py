@@ -46,13 +46,13 @@ def partition_replacement(spark, sf_dir):
 
 @query("batch_from_file_name", "SELECT doc_id, CAST(doc_id % 16 AS INT) AS batch, true AS named FROM documents")
 def batch_from_file_name(spark, sf_dir):
-    """Shards named by their number, and files without one in their name."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", (F.col("doc_id") % 16).cast("int").alias("shard"))
-    root = rebuild(docs, scratch_path(spark, "numbered"), ["shard"])
-    rows = with_file_name(read_tree(spark, root, ["doc_id", "shard", "_metadata"]))
-    # the name that the embedding step gives a shard, and the one that Spark's writer gave it
-    numbered = F.concat(F.lit("shard-"), F.lpad("shard", 5, "0"), F.lit(".parquet"))
-    return rows.select("doc_id", shard_number(numbered).alias("batch"), F.col("file_name").endswith(".parquet").alias("named"))
+    """Shards under names with numbers; the number is read from where each row's file lies, and from nothing else."""
+    name = F.format_string("shard-%05d.parquet", F.col("doc_id") % 16)
+    docs = table(spark, sf_dir, "documents").select("doc_id", name.alias("name"))
+    root = rebuild(docs, scratch_path(spark, "numbered"), ["name"])
+    rows = with_file_name(read_tree(spark, root, ["doc_id", "_metadata"], flat=True))
+    place = F.col("_metadata.file_path")
+    return rows.select("doc_id", shard_number(place).alias("batch"), F.col("file_name").endswith(".parquet").alias("named"))
 
 
 @query("compaction_count_check", "SELECT count(*) AS n_written, sum(doc_id) AS check_sum FROM documents")

@@ -10,7 +10,7 @@ from weftlink.operators.checks import require_same_count
 
 # ---- fixed values -------------------------------------------------------------------------
 VECTOR_COLUMN = r"^V[0-9]+$"
-SHARD_NUMBER = r"-(\d+)\.parquet$"
+SHARD_NUMBER = r"-(\d+)\.parquet(?:/[^/]*)?$"
 ROWS_PER_FILE = 250_000  # about 1 GB of 768-wide vectors
 # -------------------------------------------------------------------------------------------
 
@@ -45,9 +45,9 @@ def with_row_order(df: DataFrame) -> DataFrame:
     return df.withColumns({"file_path": F.col("_metadata.file_path"), "row_index": F.col("_metadata.row_index")})
 
 
-def shard_number(file_name: Column) -> Column:
-    """The number at the end of a shard's file name, NULL when it has none."""
-    return F.nullif(F.regexp_extract(file_name, SHARD_NUMBER, 1), F.lit("")).try_cast("int")
+def shard_number(file_path: Column) -> Column:
+    """The number at the end of a shard's name, NULL when it has none; a shard is a file, or a folder of part files."""
+    return F.nullif(F.regexp_extract(file_path, SHARD_NUMBER, 1), F.lit("")).try_cast("int")
 
 
 def vector_columns(columns: list[str]) -> list[str]:
@@ -131,7 +131,7 @@ def compact(spark: SparkSession, source: str, target: str, rows_per_file: int =
     if expected == 0:
         raise ValueError(f"no rows under {source}")
     files = -(-expected // rows_per_file)
-    rows = shards.withColumn("batch", shard_number(F.col("_metadata.file_name")))
+    rows = shards.withColumn("batch", shard_number(F.col("_metadata.file_path")))
     (
         rows.repartition(files)
         .write.mode("overwrite")
