@@ -19,11 +19,13 @@ from weftlink.session import cut_lineage
 WORDS, LEAST, INSIDE, TOP = 3, 10, 50, 2000
 #: Words of one language in a shard, and words that a task keeps waiting for all languages together.
 SHARD_WORDS, WAITING = 1 << 20, 1 << 22
-SLICE_BYTES = 1 << 22
+SLICE_BYTES = 1 << 20
 #: Bits for each frequent phrase in the filter that the next length is enumerated with, and the most bits of all.
 FILTER_BITS, FILTER_MOST = 16, 1 << 27
 #: Groups in which a language's rows are ranked first.
 SALTS = 32
+#: Phrases that a task hands over at a time.
+HANDED = 1 << 15
 
 _BYTE = np.random.default_rng(13).integers(1, 2**64, 256, dtype=np.uint64)
 _FACTOR = np.uint64(0xD6E8FEB86659FD93)
@@ -160,50 +162,76 @@ def phrase_filter(frequent: DataFrame) -> PhraseFilter:
     return PhraseFilter(bits)
 
 
-def enumerated(index: WordIndex, length: int, likely: Callable[[np.ndarray], np.ndarray]) -> Found:
-    """The phrases of so many words all whose shorter parts are likely, by extension to the right, then to the left."""
+def enumerated(index: WordIndex, length: int, likely: Callable[[np.ndarray], np.ndarray], extensions: bool) -> Found:
+    """The phrases of so many words all whose shorter parts are likely, by extension to the right, then to the left.
+
+    Intervals that no further step needs are left out, unless ``extensions`` are wanted in the end.
+    """
     found = index.single()
     for n in range(2, length + 1):
         found = found.keep(likely(found.words))
-        found = index.right(found) if n == 2 else index.left(found)
-        found = found.keep(likely(found.words[:, 1:] if n == 2 else found.words[:, :-1]))
+        if n == 2:
+            found = index.right(found, extensions)
+            found = found.keep(likely(found.words[:, 1:]))
+        else:
+            found = index.left(found, extensions or n < length)
+            found = found.keep(likely(found.words[:, :-1]))
     return found
 
 
-def _counted(indexed: DataFrame, length: int, filters: dict[int, PhraseFilter], least: int) -> DataFrame:
-    """``lang, phrase, n_words, f, goes_left, goes_right`` of the phrases of so many words that occur often enough."""
+def _counted(indexed: DataFrame, length: int, filters: dict[int, PhraseFilter], least: int, extensions: bool) -> DataFrame:
+    """``lang, phrase, n_words, f`` (and ``goes_left, goes_right``) of the phrases of so many words that occur often enough."""
     sent = {k: indexed.sparkSession.sparkContext.broadcast(f) for k, f in filters.items()}
+    columns = ["f", "goes_left", "goes_right"] if extensions else ["f"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
-                lang, counts = row["lang"], np.frombuffer(row["counts"], dtype="<i4").astype(np.int64)
-                named = pa.array(row["names"].split(b"\n"), pa.binary())
-                hashes = words_of(np.frombuffer(row["names"], dtype=np.uint8))[2] if filters else None
-                index = WordIndex(counts, *(np.frombuffer(row[d], dtype="<i4") for d in ("forward", "backward")))
-
-                def likely(words: np.ndarray, lang: str = lang, hashes: np.ndarray = hashes) -> np.ndarray:
+            for at in range(len(batch)):
+                cell = lambda name: batch.column(name)[at].as_buffer()  # noqa: B023, E731
+                lang = batch.column("lang")[at].as_py()
+                named = pa.array(cell("names").to_pybytes().split(b"\n"), pa.binary())
+                hashes = words_of(np.frombuffer(cell("names"), dtype=np.uint8))[2] if filters else None
+                counts = np.frombuffer(cell("counts"), dtype="<i4").astype(np.int64)
+                empty = np.empty(0, dtype=np.int32)
+                # single words are counted without the transforms
+                ways = [np.frombuffer(cell(d), dtype="<i4") if d in batch.schema.names else empty for d in ("forward", "backward")]
+                index = WordIndex(counts, *ways)
+
+                def likely(words: np.ndarray, lang: str = lang, hashes: np.ndarray | None = hashes) -> np.ndarray:
                     return sent[words.shape[1]].value.passes(phrase_hash(hashes[words - 1], lang))
 
-                found = enumerated(index, length, likely)
-                left, right = index.goes_on(found)
-                columns = [named.take(pa.array(c - 1)) for c in found.words.T]
-                phrase = pc.binary_join_element_wise(*columns, b" ").cast(pa.string())
-                arrays = [pa.array([lang] * len(phrase), pa.string()), phrase, *map(pa.array, (found.count, left, right))]
-                yield pa.RecordBatch.from_arrays(arrays, names=["lang", "phrase", "f", "goes_left", "goes_right"])
-
-    rows = indexed.mapInArrow(run, "lang string, phrase string, f long, goes_left long, goes_right long")
-    sums = rows.groupBy("lang", "phrase").agg(*[F.sum(c).alias(c) for c in ("f", "goes_left", "goes_right")])
+                found = enumerated(index, length, likely, extensions)
+                for a in range(0, len(found.count), HANDED):
+                    some = found.keep(np.s_[a : a + HANDED])
+                    parts = [named.take(pa.array(c - 1)) for c in some.words.T]
+                    phrase = pc.binary_join_element_wise(*parts, b" ").cast(pa.string())
+                    numbers = [some.count, *(index.goes_on(some) if extensions else ())]
+                    arrays = [pa.array([lang] * len(phrase), pa.string()), phrase, *map(pa.array, numbers)]
+                    yield pa.RecordBatch.from_arrays(arrays, names=["lang", "phrase", *columns])
+
+    needed = ["lang", "names", "counts"]
+    if extensions or length > 1:
+        needed += ["backward"] if length == 2 and not extensions else ["forward", "backward"]
+    rows = indexed.select(*needed).mapInArrow(run, "lang string, phrase string, " + ", ".join(f"{c} long" for c in columns))
+    # a shard has added up its own; adding up a task's shards before the shuffle would hold them all and save little
+    sums = rows.repartition("lang", "phrase").groupBy("lang", "phrase").agg(*[F.sum(c).alias(c) for c in columns])
     return cut_lineage(sums.filter(F.col("f") >= least).withColumn("n_words", F.lit(length)))
 
 
 def phrase_counts(
-    docs: DataFrame, text: str = "text", lang: str = "lang", words: int = WORDS, least: int = LEAST, shard_words: int = SHARD_WORDS
+    docs: DataFrame,
+    text: str = "text",
+    lang: str = "lang",
+    words: int = WORDS,
+    least: int = LEAST,
+    shard_words: int = SHARD_WORDS,
+    extensions: bool = True,
 ) -> tuple[DataFrame, DataFrame]:
     """All phrases of up to ``words`` words that occur ``least`` times or more, and the number of words of each language.
 
     The first table is ``lang, phrase, f, goes_left, goes_right, n_words``: occurrences, and how many of them have
-    another word to the left and to the right in their piece. The second is ``lang, n``.
+    another word to the left and to the right in their piece (without ``extensions`` they are left out). The second is
+    ``lang, n``.
     Lengths are counted one after another: a phrase can only be frequent if its parts are, so each shard enumerates
     those that pass the filter of the frequent parts. The filter lets some others pass, which are then counted and left out.
     """
@@ -211,7 +239,7 @@ def phrase_counts(
     indexed = cut_lineage(shards(rows, shard_words))
     tables, filters = [], {}
     for length in range(1, words + 1):
-        tables.append(_counted(indexed, length, filters, least))
+        tables.append(_counted(indexed, length, filters, least, extensions))
         if length < words:
             filters[length] = phrase_filter(tables[-1])
     every = tables[0]
@@ -230,7 +258,7 @@ def collocations(
     top: int = TOP,
     shard_words: int = SHARD_WORDS,
 ) -> DataFrame:
-    """``lang, rank, phrase, a, l, r, n, score, goes_left, goes_right``: each language's best phrases.
+    """``lang, rank, phrase, a, l, r, n, score``: each language's best phrases.
 
     Texts are lower-cased (A-Z), cut into pieces at ``. , ; : ! ?`` and line ends, and into words at blanks and tabs. A phrase
     of 2 to ``words`` words with a = f(phrase) >= ``least`` is a candidate; for each cut into two parts that occur l and r
@@ -241,7 +269,7 @@ def collocations(
     A null language counts as ``und``, a null text as empty; rows that repeat count as often as they occur. Ties in the
     order go by a, then by the phrase's bytes. Other columns are not read. An empty table gives no rows.
     """
-    counted, totals = phrase_counts(docs, text, lang, words, least, shard_words)
+    counted, totals = phrase_counts(docs, text, lang, words, least, shard_words, extensions=False)
     candidates = counted.filter("n_words > 1").withColumnRenamed("f", "a").withColumn("w", F.split("phrase", " "))
     parts = counted.select("lang", "phrase", "f")
     longer = candidates.filter("n_words > 2").select("lang", "a", "w", "n_words", F.explode(F.sequence(F.lit(2), F.col("n_words") - 1)).alias("m"))
@@ -256,17 +284,17 @@ def collocations(
     cuts = cuts.join(parts.select("lang", F.col("phrase").alias("head"), F.col("f").alias("l")), ["lang", "head"])
     cuts = cuts.join(parts.select("lang", F.col("phrase").alias("tail"), F.col("f").alias("r")), ["lang", "tail"])
     exact = "cast(cast(cast(a as decimal(16,0)) * cast(a as decimal(16,0)) * 1000000 as decimal(38,0)) div cast(cast(l as decimal(19,0)) * cast(r as decimal(19,0)) as decimal(38,0)) as long)"
-    scored = cuts.withColumn("score", F.expr(exact)).groupBy("lang", "phrase", "a", "goes_left", "goes_right").agg(
+    scored = cuts.withColumn("score", F.expr(exact)).groupBy("lang", "phrase", "a").agg(
         F.min(F.struct("score", "k", "l", "r")).alias("cut")
     )
-    scored = scored.select("lang", "phrase", "a", "cut.l", "cut.r", "cut.score", "goes_left", "goes_right")
+    scored = scored.select("lang", "phrase", "a", "cut.l", "cut.r", "cut.score")
     order = [F.desc("score"), F.desc("a"), F.asc("phrase")]
     # ranked in salted groups first, so that the last ranking of a language sees a bounded number of rows
     some = Window.partitionBy("lang", F.pmod(F.xxhash64("phrase"), F.lit(SALTS))).orderBy(*order)
     best = scored.withColumn("rank", F.row_number().over(some)).filter(F.col("rank") <= top)
     ranked = best.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order)).cast("long"))
     return ranked.filter(F.col("rank") <= top).join(totals, "lang").select(
-        "lang", "rank", "phrase", "a", "l", "r", "n", "score", "goes_left", "goes_right"
+        "lang", "rank", "phrase", "a", "l", "r", "n", "score"
     )
 
 

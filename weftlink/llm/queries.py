@@ -85,7 +85,7 @@ def op12_dim_kmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return collocations(_table(spark, sf_dir, "documents")).drop("goes_left", "goes_right")
+    return collocations(_table(spark, sf_dir, "documents"))
 
 
 LLM_QUERIES = {

@@ -6,7 +6,7 @@ import bisect
 import heapq
 import math
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -42,6 +42,8 @@ MEMO = 500_000
 #: Counts that a task holds before it passes them on.
 HELD_TERMS = 400_000
 SLICE_BYTES = 2 << 20
+#: Characters of texts whose words are looked up together.
+LOOKED_UP = 1 << 20
 THRESHOLD = 0.7
 #: The most that a text without a hit scores.
 UNKNOWN = 0.4
@@ -95,6 +97,32 @@ class Lexicon:
         self.swap_sizes = sorted({len(t) for t in self.swapped})
         self.looks = sorted({(p, p + len(s)) for s, at in self.pieces.items() for p in range(at.bit_length()) if at >> p & 1})
 
+        self.wanted: dict[tuple[int, int], np.ndarray] = {}
+        for a, b in self.looks:
+            here = sorted({s for s, at in self.pieces.items() if len(s) == b - a and at >> a & 1})
+            self.wanted[a, b] = self._codes(np.array([list(map(ord, s)) for s in here], dtype=np.uint64))
+        self.swap_heads = {t[:SHORTEST] for t in self.swapped}
+
+    @staticmethod
+    def _codes(letters: np.ndarray) -> np.ndarray:
+        """A number for each row of letters; equal rows have equal numbers."""
+        code = np.zeros(len(letters), dtype=np.uint64)
+        for column in letters.T:
+            code = code * np.uint64(0x9E3779B97F4A7C15) + column
+        return code
+
+    def hopeful(self, words: list[str]) -> list[str]:
+        """The words that hold a piece of a term near its place, or begin as a term with swapped letters does."""
+        reach = max((b for _, b in self.looks), default=0)
+        if not words or not reach:
+            return []
+        letters = np.array(words, dtype=f"<U{reach}").view(np.uint32).reshape(len(words), reach).astype(np.uint64)
+        found = np.zeros(len(words), dtype=bool)
+        for (a, b), codes in self.wanted.items():
+            found |= np.isin(self._codes(letters[:, a:b]), codes)
+        heads = self.swap_heads
+        return [w for w, f in zip(words, found.tolist(), strict=True) if f or w[:SHORTEST] in heads]
+
     def _candidate(self, word: str) -> bool:
         get = self.pieces.get
         for a, b in self.looks:
@@ -170,25 +198,43 @@ class ToxicityModel:
     terms: dict[str, tuple[float, bool]]
     innocent: frozenset[str] = frozenset()
     weights: np.ndarray | None = None
-    known: dict[str, tuple[float, bool] | None] = field(default_factory=dict)
+    known: dict[str, tuple[str, int]] = field(default_factory=dict)
+    clear: set[str] = field(default_factory=set)
 
     def __getstate__(self):
-        return {"terms": self.terms, "innocent": self.innocent, "weights": self.weights, "known": {}}
+        return {"terms": self.terms, "innocent": self.innocent, "weights": self.weights, "known": {}, "clear": set()}
 
     def hits(self, words: list[str]) -> list[tuple[int, str, int]]:
         """Place, term and edits of each word that meets the lexicon."""
+        left = set(words).difference(self.clear)
+        unknown = left.difference(self.known)
+        if unknown:
+            self.learn(unknown)
+        met = left.intersection(self.known)
+        return [(i, *self.known[w]) for i, w in enumerate(words) if w in met] if met else []
+
+    def learn(self, words: set[str]) -> None:
+        """Look up words that are not known yet, all at once."""
         if not hasattr(self, "lexicon"):
             self.lexicon = Lexicon(self.terms)
-        known = self.known
-        new = set(words).difference(known)
-        if len(known) + len(new) > MEMO:
-            known.clear()
-            new = set(words)
-        for word in new:
-            bare = plain(word)
-            found = self.lexicon.match_swapped(bare) if bare else None
-            known[word] = None if found and found[1] and bare in self.innocent else found
-        return [(i, *known[w]) for i, w in enumerate(words) if known[w]]
+        bare = {w: plain(w) for w in words}
+        met = set(self.lexicon.hopeful(list(bare.values())))
+        for word, b in bare.items():
+            found = self.lexicon.match_swapped(b) if b in met else None
+            if found and not (found[1] and b in self.innocent):
+                self.known[word] = found
+            else:
+                self.clear.add(word)
+
+    def ready(self, texts: list[str]) -> None:
+        """Look up the words of some texts together; the memory starts anew when it is full."""
+        words = set().union(*(t.lower().split() for t in texts))
+        if len(self.known) + len(self.clear) + len(words) > MEMO:
+            self.known.clear()
+            self.clear.clear()
+        words = words.difference(self.clear).difference(self.known)
+        if words:
+            self.learn(words)
 
     def features(self, text: str) -> list[float]:
         """A text as numbers: exact and misspelled hits by weight, the heaviest, their share of the words, its length.
@@ -205,14 +251,31 @@ class ToxicityModel:
         size = len(words)
         return [math.log1p(exact), math.log1p(near), top, math.sqrt((exact + near) / (size + 10)), math.log1p(n), math.log1p(size)]
 
+    def all_features(self, texts: list[str]) -> list[list[float]]:
+        self.ready(texts)
+        return [self.features(t) for t in texts]
+
     def score(self, texts: list[str]) -> np.ndarray:
-        x = np.array([self.features(t) for t in texts], dtype=float).reshape(len(texts), -1)
+        x = np.array([f for some in together(texts) for f in self.all_features(some)], dtype=float).reshape(len(texts), -1)
         if self.weights is None or not len(x):
             return np.full(len(texts), 0.0)
         score = 1 / (1 + np.exp(-np.clip(np.column_stack([x, np.ones(len(x))]) @ self.weights, -30, 30)))
         return np.where(x[:, 4] > 0, score, np.minimum(score, UNKNOWN))
 
 
+def together(texts: list[str]) -> Iterator[list[str]]:
+    """Runs of texts of about ``LOOKED_UP`` characters, one text at least."""
+    some, size = [], 0
+    for t in texts:
+        some.append(t)
+        size += len(t)
+        if size >= LOOKED_UP:
+            yield some
+            some, size = [], 0
+    if some:
+        yield some
+
+
 def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
     """Weights of the columns and a constant, by Newton's method with a small ridge on standardised columns."""
     mean, std = x.mean(axis=0), x.std(axis=0) + 1e-9
@@ -239,33 +302,44 @@ def _term_counts(train: DataFrame) -> DataFrame:
     """``half, term, whole, toxic, clean``: texts that hold each beginning of a word, and each word; all texts at ''."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: tuple[Counter, Counter] = Counter(), Counter()
-
-        def found() -> pa.RecordBatch:
-            keys = list(held[0].keys() | held[1].keys())
-            arrays = [
-                pa.array([k[0] for k in keys], pa.int32()),
-                pa.array([k[1] for k in keys], pa.string()),
-                pa.array([k[2] for k in keys], pa.bool_()),
-                pa.array([held[1][k] for k in keys], pa.int64()),
-                pa.array([held[0][k] for k in keys], pa.int64()),
-            ]
-            return pa.RecordBatch.from_arrays(arrays, names=["half", "term", "whole", "toxic", "clean"])
+        held: dict[tuple[int, int, bool], Counter] = defaultdict(Counter)
+        bare: dict[str, str] = {}
+        starts: dict[str, list[str]] = {}
+
+        def found() -> Iterator[pa.RecordBatch]:
+            for half, whole in sorted({(h, w) for h, _, w in held}):
+                toxic, clean = held[half, 1, whole], held[half, 0, whole]
+                terms = list(toxic.keys() | clean.keys())
+                arrays = [
+                    pa.array([half] * len(terms), pa.int32()),
+                    pa.array(terms, pa.string()),
+                    pa.array([whole] * len(terms), pa.bool_()),
+                    pa.array([toxic[t] for t in terms], pa.int64()),
+                    pa.array([clean[t] for t in terms], pa.int64()),
+                ]
+                yield pa.RecordBatch.from_arrays(arrays, names=["half", "term", "whole", "toxic", "clean"])
+            held.clear()
 
         for batch in batches:
             for rows in slices(batch, "text", SLICE_BYTES):
                 values = zip(rows.column("half").to_pylist(), rows.column("toxic").to_pylist(), texts_of(rows, "text"), strict=True)
                 for half, toxic, text in values:
-                    words = set(map(plain, text.lower().split()))
-                    starts = {s for w in words for s in beginnings(w)}
-                    held[toxic].update((half, start, False) for start in starts)
-                    held[toxic].update((half, w, True) for w in words if w)
-                    held[toxic][half, "", False] += 1
-                if len(held[0]) + len(held[1]) > HELD_TERMS:
-                    yield found()
-                    held[0].clear()
-                    held[1].clear()
-        yield found()
+                    tokens = set(text.lower().split())
+                    for token in tokens.difference(bare):
+                        bare[token] = word = plain(token)
+                        starts[token] = beginnings(word)
+                    words = set(map(bare.__getitem__, tokens))
+                    words.discard("")
+                    held[half, toxic, True].update(words)
+                    texts = held[half, toxic, False]
+                    texts.update(set().union(*map(starts.__getitem__, tokens)))
+                    texts[""] += 1
+                if len(bare) > MEMO:
+                    bare.clear()
+                    starts.clear()
+                if sum(map(len, held.values())) > HELD_TERMS:
+                    yield from found()
+        yield from found()
 
     schema = "half int, term string, whole boolean, toxic long, clean long"
     parts = train.select("half", "toxic", "text").mapInArrow(count, schema)
@@ -397,7 +471,10 @@ def learn_lexicon(train: DataFrame, counts: DataFrame) -> ToxicityModel:
 
     def terms_in(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            held = [sorted({t for _, t, edits in trial.hits(v.lower().split()) if not edits}) for v in texts_of(batch, "text")]
+            held = []
+            for some in together(texts_of(batch, "text")):
+                trial.ready(some)
+                held += [sorted({t for _, t, edits in trial.hits(v.lower().split()) if not edits}) for v in some]
             yield pa.RecordBatch.from_arrays([pa.array(held, pa.list_(pa.string()))], names=["terms"])
 
     # one row for each set of terms that occurs
@@ -409,7 +486,9 @@ def learn_lexicon(train: DataFrame, counts: DataFrame) -> ToxicityModel:
         for batch in batches:
             seen: set[str] = set()
             for rows in slices(batch, "text", SLICE_BYTES):
-                for value in texts_of(rows, "text"):
+                values = texts_of(rows, "text")
+                model.ready(values)
+                for value in values:
                     words = value.lower().split()
                     seen.update(plain(words[i]) for i, _, edits in model.hits(words) if edits)
             yield pa.RecordBatch.from_arrays([pa.array(sorted(seen), pa.string())], names=["word"])
@@ -455,7 +534,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, learn: Column, key: str = "
 def _feature_rows(model: ToxicityModel):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = pa.array([model.features(t) for t in texts_of(batch, "text")], pa.list_(pa.float64()))
+            x = pa.array([f for some in together(texts_of(batch, "text")) for f in model.all_features(some)], pa.list_(pa.float64()))
             yield pa.RecordBatch.from_arrays([batch.column("toxic"), x], names=["toxic", "x"])
 
     return run

@@ -16,18 +16,25 @@ def suffix_order(seq: np.ndarray) -> np.ndarray:
     """
     n = len(seq)
     ends = seq == 0
-    rank = np.where(ends, np.cumsum(ends) - 1, seq.astype(np.int64) + int(ends.sum()))
-    order = np.argsort(rank, kind="stable")
-    sorted_rank = rank[order]
-    new = np.diff(sorted_rank, prepend=-1) != 0
+    symbol = np.where(ends, np.cumsum(ends) - 1, seq.astype(np.int64) + int(ends.sum()))
+    # as many symbols as fit 63 bits are compared at once; what follows an end is never reached by a tie
+    most = int(symbol.max()) + 1
+    step = max(1, min(3, 62 // max(1, most.bit_length())))
+    key = symbol.copy()
+    for k in range(1, step):
+        key *= most
+        key[: n - k] += symbol[k:]
+    order = np.argsort(key)
+    key = key[order]
+    new = np.diff(key, prepend=-1) != 0
+    rank = symbol
     rank[order] = np.maximum.accumulate(np.where(new, np.arange(n), 0))
     alone = new & np.append(new[1:], True)
     slots = np.flatnonzero(~alone)
-    step = 1
     while len(slots):
         at = order[slots]
         key = rank[at] * n + rank[at + step]
-        by = np.argsort(key, kind="stable")
+        by = np.argsort(key)
         at, key = at[by], key[by]
         new = np.diff(key, prepend=-1) != 0
         order[slots] = at
@@ -44,15 +51,19 @@ def transform(seq: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Found:
-    """Patterns of one length: their words (one row of ids each), counts, and intervals in both directions."""
+    """Patterns of one length: their words (one row of ids each), counts, and intervals in both directions.
+
+    A direction that is not asked for is None.
+    """
 
     words: np.ndarray
     count: np.ndarray
-    forward: np.ndarray
-    backward: np.ndarray
+    forward: np.ndarray | None
+    backward: np.ndarray | None
 
     def keep(self, mask: np.ndarray) -> Found:
-        return Found(self.words[mask], self.count[mask], self.forward[mask], self.backward[mask])
+        ahead, back = (None if d is None else d[mask] for d in (self.forward, self.backward))
+        return Found(self.words[mask], self.count[mask], ahead, back)
 
 
 class Direction:
@@ -64,8 +75,9 @@ class Direction:
     @cached_property
     def step(self) -> np.ndarray:
         """Where each row's suffix goes when it is extended by its symbol (last-to-first mapping)."""
-        out = np.empty(len(self.bwt), dtype=np.int64)
-        out[np.argsort(self.bwt, kind="stable")] = np.arange(len(self.bwt))
+        n = len(self.bwt)
+        out = np.empty(n, dtype=np.int64)
+        out[np.argsort(self.bwt.astype(np.int64) * n + np.arange(n))] = np.arange(n)
         return out
 
     @cached_property
@@ -76,21 +88,25 @@ class Direction:
         """How many occurrences in each interval go on with a word of the same piece."""
         return count - (self.ends_before[start + count] - self.ends_before[start])
 
-    def extend(self, start: np.ndarray, count: np.ndarray, other: np.ndarray) -> tuple[np.ndarray, ...]:
+    def extend(self, start: np.ndarray, count: np.ndarray, other: np.ndarray | None, here: bool) -> tuple:
         """Every extension of the intervals by one word: pattern extended, word, count, interval here, interval there.
 
-        The interval there is the pattern's one, narrowed by the occurrences that go on with smaller symbols.
+        The interval there is the pattern's one, narrowed by the occurrences that go on with smaller symbols. The interval
+        here needs the mapping of all rows and is made only if asked for.
         """
-        owner = np.repeat(np.arange(len(start)), count)
         first = np.cumsum(count) - count
-        rows = np.arange(int(count.sum())) - first[owner] + start[owner]
-        symbol = self.bwt[rows].astype(np.int64)
+        owner = np.repeat(np.arange(len(start)), count)
+        rows = np.repeat(start - first, count) + np.arange(len(owner))
         width = int(self.bwt.max(initial=0)) + 1
-        key, at, times = np.unique(owner * width + symbol, return_index=True, return_counts=True)
+        key = owner * width + self.bwt[rows]
+        if here:
+            key, at, times = np.unique(key, return_index=True, return_counts=True)
+        else:
+            key, times = np.unique(key, return_counts=True)
         owner, symbol = key // width, key % width
-        before = np.cumsum(times) - times - first[owner]
         word = symbol > 0
-        return owner[word], symbol[word], times[word], self.step[rows[at]][word], (other[owner] + before)[word]
+        there = None if other is None else (other[owner] + np.cumsum(times) - times - first[owner])[word]
+        return owner[word], symbol[word], times[word], self.step[rows[at]][word] if here else None, there
 
 
 class WordIndex:
@@ -111,14 +127,14 @@ class WordIndex:
         ids = np.arange(1, len(self.counts))
         return Found(ids[:, None], self.counts[1:], start[1:], start[1:])
 
-    def right(self, of: Found) -> Found:
-        """Every pattern one word longer to the right."""
-        owner, word, count, back, ahead = self.backward.extend(of.backward, of.count, of.forward)
+    def right(self, of: Found, both: bool = True) -> Found:
+        """Every pattern one word longer to the right; ready for the left, and for the right again if ``both``."""
+        owner, word, count, back, ahead = self.backward.extend(of.backward, of.count, of.forward, both)
         return Found(np.column_stack([of.words[owner], word]), count, ahead, back)
 
-    def left(self, of: Found) -> Found:
-        """Every pattern one word longer to the left."""
-        owner, word, count, ahead, back = self.forward.extend(of.forward, of.count, of.backward)
+    def left(self, of: Found, both: bool = True) -> Found:
+        """Every pattern one word longer to the left; ready for the right, and for the left again if ``both``."""
+        owner, word, count, ahead, back = self.forward.extend(of.forward, of.count, of.backward, both)
         return Found(np.column_stack([word, of.words[owner]]), count, ahead, back)
 
     def goes_on(self, of: Found) -> tuple[np.ndarray, np.ndarray]:
