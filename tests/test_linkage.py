@@ -139,7 +139,7 @@ def meta_of(defs):
 
 
 def ids_of(defs, keyset):
-    return [r.id for r in defs.filter(f"keyset = '{keyset}'").collect()]
+    return defs.filter(f"keyset = '{keyset}'").select("id")
 
 
 def test_heatmap_keeps_unlinked_definitions(spark, defs):

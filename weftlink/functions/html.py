@@ -49,9 +49,14 @@ def finish_clean(plain: Column, drop_prefix: bool = False) -> Column:
     return blank_to_null(squish(strip_latex(body)))
 
 
+def without_markup(c: Column) -> Column:
+    """Texts that hold no tag and no entity stay as they are; only the others leave the JVM."""
+    return F.coalesce(html_to_text(F.when(c.rlike("[<&]"), c)), c)
+
+
 def clean_title(c: Column) -> Column:
-    return finish_clean(html_to_text(c))
+    return finish_clean(without_markup(c))
 
 
 def clean_abstract(c: Column) -> Column:
-    return finish_clean(html_to_text(c), drop_prefix=True)
+    return finish_clean(without_markup(c), drop_prefix=True)

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from weftlink.operators.cosine import cosine_top_links
-from weftlink.operators.figures import curve_points, even_places, group_boundaries
+from weftlink.operators.figures import curve_points, diagram_links, even_places, group_boundaries, link_nodes
 from weftlink.plans.ordering import with_dense_position, with_position
 from weftlink.registry.base import definitions, query, table
 from weftlink.registry.linkage import RANKED_EDGES, TOP_TEXT
@@ -72,3 +72,46 @@ def sankey_curve_points(spark, sf_dir):
     )
     points = curve_points(links)
     return points.select("id_a", "id_b", "point", F.round("x", 9).alias("x"), F.round("y", 9).alias("y"))
+
+
+PARTS = """SELECT p_partkey AS id, p_brand AS keyset,
+      CASE WHEN p_partkey % 2 = 0 THEN upper(p_name) ELSE lower(p_name) END || ' ' || p_type AS label FROM part"""
+
+
+def parts(spark, sf_dir):
+    name = F.when(F.col("p_partkey") % 2 == 0, F.upper("p_name")).otherwise(F.lower("p_name"))
+    label = F.concat(name, F.lit(" "), "p_type")
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("keyset"), label.alias("label"))
+
+
+@query(
+    "link_diagram_nodes",
+    f"""SELECT keyset, id, label, substr(label, 1, 30) AS label_short, place,
+      CASE WHEN n <= 1 THEN 0.5 ELSE round(0.98 - (place - 1) * (CAST(0.96 AS DOUBLE) / (n - 1)), 9) END AS y
+    FROM (SELECT *, row_number() OVER (PARTITION BY keyset ORDER BY label COLLATE NOCASE, label, id) AS place,
+                 count(*) OVER (PARTITION BY keyset) AS n FROM ({PARTS}))""",
+)
+def link_diagram_nodes(spark, sf_dir):
+    """Every part as a node of its brand's axis, labels in an order that takes small and capital letters alike."""
+    return link_nodes(parts(spark, sf_dir), "UTF8_LCASE").withColumn("y", F.round("y", 9))
+
+
+@query(
+    "link_diagram_curves",
+    f"""WITH {RANKED_EDGES},
+      placed AS (
+        SELECT keyset, id, row_number() OVER (PARTITION BY keyset ORDER BY id) AS place, count(*) OVER (PARTITION BY keyset) AS n FROM vectors),
+      nodes AS (
+        SELECT keyset, id, CASE WHEN n <= 1 THEN 0.5 ELSE CAST(0.98 AS DOUBLE) - (place - 1) * (CAST(0.96 AS DOUBLE) / (n - 1)) END AS y FROM placed),
+      ends AS (SELECT min(keyset) AS low, max(keyset) AS high FROM vectors)
+    SELECT id_a, id_b, link_rank, round(a.y, 9) AS y0, round(b.y, 9) AS y1
+    FROM links JOIN ends ON keyset_a = low AND keyset_b = high
+    JOIN nodes a ON a.keyset = keyset_a AND a.id = id_a JOIN nodes b ON b.keyset = keyset_b AND b.id = id_b""",
+)
+def link_diagram_curves(spark, sf_dir):
+    """Top links from the first keyset to the last, between places inside each of them."""
+    rows = definitions(spark, sf_dir)
+    ends = rows.agg(F.min("keyset").alias("low"), F.max("keyset").alias("high")).first()
+    nodes = cut_lineage(link_nodes(rows.select("keyset", "id", F.col("id").alias("label"))))
+    drawn = diagram_links(cosine_top_links(rows, TOP_TEXT, decimals=6), nodes, ends.low, ends.high)
+    return drawn.select("id_a", "id_b", "link_rank", F.round("y0", 9).alias("y0"), F.round("y1", 9).alias("y1"))

@@ -18,7 +18,7 @@ from weftlink.operators.jaccard import (
     jaccard_profile,
     jaccard_top_links,
 )
-from weftlink.operators.links import linked_pairs
+from weftlink.operators.links import grid_percentiles, linked_pairs
 from weftlink.operators.midrank import add_percentile, midrank_table
 from weftlink.registry.base import (
     CUSTOMER_PARTS,
@@ -31,6 +31,7 @@ from weftlink.registry.base import (
     query,
     table,
 )
+from weftlink.session import cut_lineage
 
 TOP_TEXT, TOP_WORKS = 5, 3
 
@@ -130,7 +131,8 @@ def cosine_background_midrank(spark, sf_dir):
 )
 def link_midrank_stage1(spark, sf_dir):
     rows = definitions(spark, sf_dir)
-    links = cosine_top_links(rows, TOP_TEXT, decimals=6).select("id_a", "id_b", "sim")
+    # stored: the links are read, and so are the bins they ask for
+    links = cut_lineage(cosine_top_links(rows, TOP_TEXT, decimals=6).select("id_a", "id_b", "sim"))
     return add_percentile(links, "sim", cosine_histogram(rows, decimals=6), 6)
 
 
@@ -182,8 +184,9 @@ def keyset_matrix_by_works(spark, sf_dir):
 )
 def link_midrank_stage2(spark, sf_dir):
     sets = cited_sets(customer_parts(spark, sf_dir))
+    sets.pairs = cut_lineage(sets.pairs)  # read by the links and by the background
     background = jaccard_histogram(sets, table(spark, sf_dir, "customer").count(), 6)
-    links = jaccard_top_links(sets, TOP_WORKS).select("id_a", "id_b", "jaccard")
+    links = cut_lineage(jaccard_top_links(sets, TOP_WORKS).select("id_a", "id_b", "jaccard"))
     return add_percentile(links, "jaccard", background, 6)
 
 
@@ -308,3 +311,39 @@ def missing_embedding_anti(spark, sf_dir):
 )
 def palette_steps(spark, sf_dir):
     return palette_index(table(spark, sf_dir, "part"), "p_retailprice").select("p_partkey", "palette_step")
+
+
+@query(
+    "pair_grid_percentiles",
+    f"""WITH {RANKED_EDGES}, {ORDER_CITES}, {zero_padded("(SELECT count(*) FROM embeddings)")},
+  meta AS (
+    SELECT id, keyset, CASE WHEN CAST(id AS BIGINT) % 3 = 0 THEN 'Short ' || id
+             WHEN CAST(id AS BIGINT) % 3 = 1 THEN 'C' || id || ' Title of ' || id ELSE 'Title of ' || id END AS label FROM vectors),
+  grid AS (
+    SELECT a.id AS id_a, b.id AS id_b, a.label AS label_a, b.label AS label_b FROM meta a JOIN meta b
+      ON a.keyset = (SELECT min(keyset) FROM vectors) AND b.keyset IN ((SELECT min(keyset) FROM vectors), (SELECT max(keyset) FROM vectors))),
+  cells AS (
+    SELECT g.*, coalesce(e.sim, 0) AS sim, coalesce(j.n_shared, CASE WHEN g.id_a = g.id_b THEN s.n END, 0) AS n_shared, coalesce(j.jaccard, 0) AS jaccard
+    FROM grid g LEFT JOIN edges e USING (id_a, id_b) LEFT JOIN jedges j USING (id_a, id_b) LEFT JOIN sizes s ON s.id = g.id_a),
+  total AS (SELECT count(*) AS n FROM edges),
+  ranked AS (
+    SELECT c.*, coalesce(r1.percentile, (SELECT count(*) FROM edges e WHERE e.sim < 0) / CAST((SELECT n FROM total) AS DOUBLE)) AS percentile_stage1,
+           r2.percentile AS percentile_stage2
+    FROM cells c LEFT JOIN ranks r1 ON r1.sim = c.sim JOIN jranks r2 ON r2.bin = round(c.jaccard * 1e6))
+    SELECT *, percentile_stage1 >= 0.95 AS real_diff_stage1, percentile_stage2 >= 0.95 AS real_diff_stage2,
+           (percentile_stage1 + percentile_stage2) / 2 AS combined,
+           CAST(percentile_stage1 >= 0.95 AS INT) + CAST(percentile_stage2 >= 0.95 AS INT) AS n_agree FROM ranked""",
+)
+def pair_grid_percentiles(spark, sf_dir):
+    """The first keyset against itself and the last one, every cell with both values, ranks and labels."""
+    rows = definitions(spark, sf_dir)
+    third = F.pmod(F.col("id").cast("long"), F.lit(3))
+    meta = rows.select(
+        "id", "keyset", F.concat(F.lit("Title of "), "id").alias("title"),
+        F.when(third == 1, F.concat(F.lit("C"), "id")).otherwise("").alias("code"),
+        F.when(third == 0, F.concat(F.lit("Short "), "id")).alias("short_name"),
+    )
+    ends = rows.agg(F.min("keyset").alias("low"), F.max("keyset").alias("high")).first()
+    first = rows.filter(F.col("keyset") == ends.low).select("id")
+    both = rows.filter(F.col("keyset").isin(ends.low, ends.high)).select("id")
+    return grid_percentiles(rows, order_cites(spark, sf_dir), meta, first, both)

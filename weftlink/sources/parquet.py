@@ -6,12 +6,11 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftlink.operators.checks import require_same_count
-
 # ---- fixed values -------------------------------------------------------------------------
 VECTOR_COLUMN = r"^V[0-9]+$"
 SHARD_NUMBER = r"-(\d+)\.parquet(?:/[^/]*)?$"
 ROWS_PER_FILE = 250_000  # about 1 GB of 768-wide vectors
+BYTES_PER_FILE = 1_000_000_000
 # -------------------------------------------------------------------------------------------
 
 
@@ -121,22 +120,40 @@ def drop_partitions(values: DataFrame, path: str, partition_by: list[str]) -> in
     return len(folders)
 
 
-def compact(spark: SparkSession, source: str, target: str, rows_per_file: int = ROWS_PER_FILE) -> int:
-    """Rewrite shards as few large files with a ``batch`` column from their names; rows are verified.
+def packed_shards(spark: SparkSession, source: str, bytes_per_task: int) -> DataFrame:
+    """All shards under a path with their ``batch``, dealt to tasks by file size: a task reads about so many bytes."""
+    packing = spark.newSession()  # how a scan deals files to tasks is a setting of the session
+    for key, value in (("maxPartitionBytes", bytes_per_task), ("openCostInBytes", 1), ("minPartitionNum", 1)):
+        packing.conf.set(f"spark.sql.files.{key}", str(value))
+    shards = packing.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").parquet(source)
+    return shards.withColumn("batch", shard_number(F.col("_metadata.file_path")))
+
+
+def compact(
+    spark: SparkSession, source: str, target: str, rows_per_file: int = ROWS_PER_FILE, bytes_per_file: int = BYTES_PER_FILE
+) -> int:
+    """Rewrite shards as few large files with a ``batch`` column from their names; counts and content are verified.
 
-    Files are sized by rows and the committer publishes them together, so a lost task leaves nothing.
+    No row is shuffled: a task streams the shards dealt to it into one file, or more beyond ``rows_per_file`` rows.
+    The committer publishes all files together, so a lost task leaves nothing.
     """
-    shards = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").parquet(source)
-    expected = shards.count()
-    if expected == 0:
+    rows = packed_shards(spark, source, bytes_per_file)
+    expected = content_mark(rows)
+    if expected[0] == 0:
         raise ValueError(f"no rows under {source}")
-    files = -(-expected // rows_per_file)
-    rows = shards.withColumn("batch", shard_number(F.col("_metadata.file_path")))
-    (
-        rows.repartition(files)
-        .write.mode("overwrite")
-        .option("maxRecordsPerFile", rows_per_file)
-        .option("compression", "snappy")
-        .parquet(target)
-    )
-    return require_same_count(expected, spark.read.parquet(target), target)
+    rows.write.mode("overwrite").option("maxRecordsPerFile", rows_per_file).option("compression", "snappy").parquet(target)
+    written = content_mark(spark.read.parquet(target))
+    if written[0] != expected[0]:
+        raise ValueError(f"{target}: {written[0]} rows, expected {expected[0]}")
+    if written != expected:
+        raise ValueError(f"{target}: as many rows as the shards, but not the same")
+    return written[0]
+
+
+def content_mark(df: DataFrame) -> tuple:
+    """Rows and two order-free sums of row hashes: tables of the same rows have the same mark."""
+    # null flags tell a missing value from another column's
+    values = [F.col(f"`{c}`") for c in sorted(df.columns)]
+    nulls = [v.isNull() for v in values]
+    hashes = [F.xxhash64(F.lit(seed), *values, *nulls).cast("decimal(38,0)") for seed in (1, 2)]
+    return tuple(df.agg(F.count("*"), *map(F.sum, hashes)).first())
