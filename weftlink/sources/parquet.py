@@ -11,6 +11,7 @@ VECTOR_COLUMN = r"^V[0-9]+$"
 SHARD_NUMBER = r"-(\d+)\.parquet(?:/[^/]*)?$"
 ROWS_PER_FILE = 250_000  # about 1 GB of 768-wide vectors
 BYTES_PER_FILE = 1_000_000_000
+NO_VALUE = "__HIVE_DEFAULT_PARTITION__"  # the folder of rows without a value
 # -------------------------------------------------------------------------------------------
 
 
@@ -108,8 +109,9 @@ def drop_partitions(values: DataFrame, path: str, partition_by: list[str]) -> in
     tree = read_tree(spark, path)
     if not set(partition_by) <= set(tree.columns):
         return 0
-    names = values.select(*[F.col(c).cast("string").alias(c) for c in partition_by])
-    of_file = tree.select(*[F.col(c).cast("string").alias(c) for c in partition_by], F.col("_metadata.file_path").alias("f"))
+    shown = [F.coalesce(F.col(c).cast("string"), F.lit(NO_VALUE)).alias(c) for c in partition_by]
+    names = values.select(*shown)
+    of_file = tree.select(*shown, F.col("_metadata.file_path").alias("f"))
     folder = F.regexp_replace("f", "/[^/]*$", "")
     folders = [r.f for r in of_file.join(names, partition_by, "left_semi").select(folder.alias("f")).distinct().collect()]
     hadoop = spark._jvm.org.apache.hadoop.fs
