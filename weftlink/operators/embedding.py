@@ -13,13 +13,14 @@ from typing import Protocol
 
 import pandas as pd
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from weftlink.functions.html import clean_abstract, clean_title
 from weftlink.functions.text import text_hash
 from weftlink.operators.checks import require_columns, require_same_count
 from weftlink.session import cut_lineage
+from weftlink.sources.parquet import NO_VALUE, drop_partitions
 
 # ---- fixed values -------------------------------------------------------------------------
 SOURCES = ("corpus_chapter", "corpus", "keypaper")
@@ -252,3 +253,105 @@ def embed_works(
     wanted = texts.select("id", "text_hash").distinct()
     require_same_count(wanted.count(), current_vectors(_stored(spark, path), texts, backend).select("id", "text_hash").distinct(), path)
     return n
+
+
+# ---- leaves by partition ------------------------------------------------------------------
+#: Beside the leaf's folders; names that begin so are no data to a scan.
+MANIFEST = "_manifest"
+MANIFEST_SCHEMA = "partition string, n long, mark string"
+
+
+def _manifest(spark: SparkSession, path: str) -> DataFrame:
+    """``partition, n, mark``: what the last run left in each partition of a leaf."""
+    try:
+        return spark.read.schema(MANIFEST_SCHEMA).json(f"{path}/{MANIFEST}")
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], MANIFEST_SCHEMA)
+
+
+def _contents(stored: DataFrame, by: str) -> DataFrame:
+    """``partition, n, mark`` of the vectors as they are: rows, and a sum of hashes that no order changes."""
+    mark = F.sum(F.xxhash64("id", "text_hash", "provider", "model_id", "embedding").cast("decimal(38,0)")).cast("string")
+    return stored.groupBy(F.coalesce(F.col(by), F.lit(NO_VALUE)).alias("partition")).agg(F.count("*").alias("n"), mark.alias("mark"))
+
+
+def damaged_partitions(spark: SparkSession, path: str, by: str) -> DataFrame:
+    """``partition``s of a leaf that do not hold what its manifest says: rows lost, doubled or changed."""
+    stored = _stored_by(spark, path, by)
+    known = _manifest(spark, path)
+    if stored is None:
+        return known.select("partition")
+    now = _contents(stored, by).toDF("partition", "n_now", "mark_now")
+    same = (F.col("n") == F.col("n_now")) & (F.col("mark") == F.col("mark_now"))
+    return known.join(now, "partition", "full").filter(~F.coalesce(same, F.lit(False))).select("partition")
+
+
+def _stored_by(spark: SparkSession, path: str, by: str) -> DataFrame | None:
+    try:
+        return spark.read.schema(f"{EMBEDDING_SCHEMA}, {by} string").option("pathGlobFilter", "*.parquet").parquet(path)
+    except AnalysisException as error:
+        if error.getCondition() == "PATH_NOT_FOUND":
+            return None
+        raise
+
+
+def embed_partitions(
+    works: DataFrame,
+    by: str,
+    root: str,
+    source: str,
+    config: str,
+    variant: str,
+    backend: Backend,
+    preprocessor: Preprocessor | None = None,
+    assessment: str | None = None,
+    save_text: bool = True,
+) -> int:
+    """Embed works by partition: the leaf has the folders of the works' ``by`` column. Returns how many were embedded.
+
+    The leaf's manifest keeps rows and content of each partition. A partition that does not hold what it says is emptied and
+    embedded again as a whole; in all others only new and edited texts are embedded. Rows written are observed during the
+    write and must be as many as were pending; every current text must then have a vector in its partition. The manifest
+    is written last, so a run that fails leaves its partitions to be found damaged.
+    """
+    spark = works.sparkSession
+    path = leaf_path(root, config, source, variant, assessment)
+    prepare = preprocessor or variant_preprocessor(variant)
+    # an id in two partitions is embedded in both
+    parts = works.select(F.concat_ws("\u0000", F.coalesce(F.col(by).cast("string"), F.lit(NO_VALUE)), "id").alias("id"), "title", "abstract")
+    texts = prepare(parts).withColumn("partition", F.substring_index("id", "\u0000", 1))
+    texts = cut_lineage(texts.withColumn("id", F.expr("substring(id, length(partition) + 2)")).dropDuplicates(["partition", "id", "text_hash"]))
+
+    broken = cut_lineage(damaged_partitions(spark, path, by))
+    stored = _stored_by(spark, path, by)
+    if stored is not None and not broken.isEmpty():
+        drop_partitions(broken.select(F.col("partition").alias(by)), path, [by])
+        stored = _stored_by(spark, path, by)
+    key = ["partition", "id", "text_hash"]
+    todo = texts
+    if stored is not None:
+        held = _made_by(stored, backend).withColumn("partition", F.coalesce(F.col(by), F.lit(NO_VALUE)))
+        todo = texts.join(held.select(*key), key, "left_anti")
+    todo = cut_lineage(todo)
+    n = todo.count()
+    if n:
+        where = F.when(F.col("partition") != NO_VALUE, F.col("partition"))
+        keyed = todo.select(F.concat_ws("\u0000", "partition", "id").alias("id"), "text_hash", "text", "title_clean", "abstract_clean")
+        seen = Observation("written")
+        vectors = embed_texts(keyed, backend, save_text).withColumn("partition", F.substring_index("id", "\u0000", 1))
+        vectors = vectors.withColumns({"id": F.expr("substring(id, length(partition) + 2)"), by: where}).drop("partition")
+        vectors.observe(seen, F.count("*").alias("n")).write.mode("append").partitionBy(by).parquet(path)
+        if seen.get["n"] != n:
+            raise ValueError(f"{path}: {seen.get['n']} rows written, {n} pending")
+    stored = _stored_by(spark, path, by)
+    if stored is None:
+        return n
+    held = _made_by(stored, backend).withColumn("partition", F.coalesce(F.col(by), F.lit(NO_VALUE))).select(*key)
+    lost = texts.join(held, key, "left_anti").count()
+    if lost:
+        raise ValueError(f"{path}: {lost} current texts without a vector")
+    if n or not broken.isEmpty():
+        _contents(stored, by).coalesce(1).write.mode("overwrite").json(f"{path}/{MANIFEST}")
+    return n

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from weftlink.operators.embedding import (
     HashBackend,
     current_vectors,
+    embed_partitions,
     embed_works,
     leaf_path,
     pending,
@@ -12,7 +13,7 @@ from weftlink.operators.embedding import (
 )
 from weftlink.registry.base import query, table
 from weftlink.registry.texts import TITLED, titled
-from weftlink.session import scratch_path
+from weftlink.session import cut_lineage, scratch_path
 from weftlink.sources.parquet import (
     compact,
     pack_vectors,
@@ -126,3 +127,36 @@ def stale_model_pending(spark, sf_dir):
     return now.agg(F.count("*").alias("current_after_change")).select(
         F.lit(stored).cast("long").alias("stored"), F.lit(waiting).cast("long").alias("pending_after_change"), "current_after_change"
     )
+
+
+@query(
+    "damaged_leaf_again",
+    f"""WITH {TITLED}, parts AS (SELECT CAST(doc_id AS VARCHAR) AS id, lang FROM documents),
+      kept AS (SELECT t.id, p.lang FROM texts t JOIN parts p ON p.id = t.id)
+    SELECT lang, count(*) AS stored, count(*) AS first_run, CASE WHEN lang = 'fr' THEN count(*) ELSE 0 END AS embedded_again,
+           0 AS third_run FROM kept GROUP BY lang""",
+)
+def damaged_leaf_again(spark, sf_dir):
+    """Embed documents by language, lose some French vectors: the next run embeds all French texts again, and no others."""
+    docs = titled(spark, sf_dir)
+    langs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("id"), "lang")
+    works = docs.join(langs, "id")
+    root = scratch_path(spark, "leaves")
+    run = lambda model: embed_partitions(works, "lang", root, "corpus", "test", "title_abstract", HashBackend(model))
+    leaf = leaf_path(root, "test", "corpus", "title_abstract")
+    first = run("m")
+    before = cut_lineage(spark.read.parquet(leaf).select("id", "lang", F.col("_metadata.file_path").alias("file")))
+    # half of the French vectors are lost
+    french = cut_lineage(spark.read.parquet(leaf).filter("lang = 'fr' and xxhash64(id) % 2 = 0"))
+    replace_partitions(french, leaf, ["lang"])
+    again = run("m")
+    after = spark.read.parquet(leaf).select("id", "lang", F.col("_metadata.file_path").alias("file"))
+    # files of partitions that were whole are the same as before
+    moved = after.join(before, ["id", "lang", "file"], "left_anti").groupBy("lang").agg(F.count("*").alias("embedded_again"))
+    if again != moved.agg(F.sum("embedded_again")).first()[0] or first != before.count():
+        raise ValueError(f"{again} texts embedded again")
+    third = run("m")
+    counts = after.groupBy("lang").agg(F.count("*").alias("stored"))
+    first_run = before.groupBy("lang").agg(F.count("*").alias("first_run"))
+    rows = counts.join(first_run, "lang").join(moved, "lang", "left").fillna(0, ["embedded_again"])
+    return rows.withColumn("third_run", F.lit(third))
