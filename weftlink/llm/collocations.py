@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
+import uuid
 import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftlink.llm.common import mix64, slices
+from weftlink.llm.common import full_uri, mix64, slices
 from weftlink.llm.word_index import Found, WordIndex
-from weftlink.session import cut_lineage
+from weftlink.session import cut_lineage, scratch_path
 
 #: Longest phrase, fewest occurrences, percent of occurrences inside a longer phrase that drop a phrase, rows a language.
 WORDS, LEAST, INSIDE, TOP = 3, 10, 50, 2000
@@ -26,6 +28,8 @@ FILTER_BITS, FILTER_MOST = 16, 1 << 27
 SALTS = 32
 #: Phrases that a task hands over at a time.
 HANDED = 1 << 15
+#: Shards that a task enumerates, about.
+SHARDS_IN_TASK = 4
 
 _BYTE = np.random.default_rng(13).integers(1, 2**64, 256, dtype=np.uint64)
 _FACTOR = np.uint64(0xD6E8FEB86659FD93)
@@ -108,26 +112,48 @@ class _Shards:
         return lang, n, names, index.counts.astype("<i4").tobytes(), index.forward.bwt.tobytes(), index.backward.bwt.tobytes()
 
 
-def shards(docs: DataFrame, shard_words: int = SHARD_WORDS) -> DataFrame:
-    """``lang, n, names, counts, forward, backward`` of ``lang, text``: FM-indexes made where the texts are read."""
-    names = ["lang", "n", "names", "counts", "forward", "backward"]
-    kinds = [pa.string(), pa.int64(), *[pa.binary()] * 4]
+PARTS = ("names", "counts", "forward", "backward")
 
-    def batch_of(row: tuple) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, kinds, strict=True)], names=names)
+
+def shards(docs: DataFrame, root: str, shard_words: int = SHARD_WORDS) -> DataFrame:
+    """``lang, n, file, ends`` of ``lang, text``: FM-indexes made where the texts are read, each a file under ``root``.
+
+    A file holds dictionary, counts and both transforms one after another; ``ends`` are where they end. Tasks write the files
+    through Arrow's file systems under names of their own, and only those of finished attempts become rows of the table that
+    this must be stored as. So an index, megabytes in one piece, never passes through Spark's rows.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made = _Shards(shard_words)
+        fs, folder = pafs.FileSystem.from_uri(root)
+
+        def stored(shard: tuple) -> pa.RecordBatch:
+            lang, n, *parts = shard
+            file = f"{folder}/shard-{uuid.uuid4().hex}.bin"
+            with fs.open_output_stream(file) as out:
+                for part in parts:
+                    out.write(part)
+            ends = np.cumsum(list(map(len, parts))).tolist()
+            arrays = [pa.array([lang]), pa.array([n]), pa.array([file]), pa.array([ends], pa.list_(pa.int64()))]
+            return pa.RecordBatch.from_arrays(arrays, names=["lang", "n", "file", "ends"])
+
         for batch in batches:
             for rows in slices(batch, "text", SLICE_BYTES):
                 langs = rows.column("lang")
                 for lang in pc.unique(langs).to_pylist():
                     texts = rows.column("text").filter(pc.equal(langs, lang)).cast(pa.binary()).to_pylist()
-                    yield from map(batch_of, made.add(lang, b"\n".join(texts)))
+                    yield from map(stored, made.add(lang, b"\n".join(texts)))
         for lang in list(made.waiting):
-            yield batch_of(made.give(lang))
+            yield stored(made.give(lang))
+
+    return docs.mapInArrow(run, "lang string, n long, file string, ends array<long>")
+
 
-    return docs.mapInArrow(run, "lang string, n long, names binary, counts binary, forward binary, backward binary")
+def _read_parts(fs: pafs.FileSystem, file: str, ends: list[int], wanted: list[str]) -> dict[str, bytes]:
+    with fs.open_input_file(file) as data:
+        starts = [0, *ends[:-1]]
+        spans = zip(PARTS, starts, ends, strict=True)
+        return {part: data.read_at(end - start, start) for part, start, end in spans if part in wanted}
 
 
 class PhraseFilter:
@@ -179,22 +205,25 @@ def enumerated(index: WordIndex, length: int, likely: Callable[[np.ndarray], np.
     return found
 
 
-def _counted(indexed: DataFrame, length: int, filters: dict[int, PhraseFilter], least: int, extensions: bool) -> DataFrame:
+def _counted(indexed: DataFrame, root: str, length: int, filters: dict[int, PhraseFilter], least: int, extensions: bool) -> DataFrame:
     """``lang, phrase, n_words, f`` (and ``goes_left, goes_right``) of the phrases of so many words that occur often enough."""
     sent = {k: indexed.sparkSession.sparkContext.broadcast(f) for k, f in filters.items()}
     columns = ["f", "goes_left", "goes_right"] if extensions else ["f"]
 
+    needed = ["names", "counts"]
+    if extensions or length > 1:
+        needed += ["backward"] if length == 2 and not extensions else ["forward", "backward"]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, _ = pafs.FileSystem.from_uri(root)
         for batch in batches:
-            for at in range(len(batch)):
-                cell = lambda name: batch.column(name)[at].as_buffer()  # noqa: B023, E731
-                lang = batch.column("lang")[at].as_py()
-                named = pa.array(cell("names").to_pybytes().split(b"\n"), pa.binary())
-                hashes = words_of(np.frombuffer(cell("names"), dtype=np.uint8))[2] if filters else None
-                counts = np.frombuffer(cell("counts"), dtype="<i4").astype(np.int64)
-                empty = np.empty(0, dtype=np.int32)
+            for row in batch.to_pylist():
+                lang, cells = row["lang"], _read_parts(fs, row["file"], row["ends"], needed)
+                named = pa.array(cells["names"].split(b"\n"), pa.binary())
+                hashes = words_of(np.frombuffer(cells["names"], dtype=np.uint8))[2] if filters else None
+                counts = np.frombuffer(cells["counts"], dtype="<i4").astype(np.int64)
                 # single words are counted without the transforms
-                ways = [np.frombuffer(cell(d), dtype="<i4") if d in batch.schema.names else empty for d in ("forward", "backward")]
+                ways = [np.frombuffer(cells.get(d, b""), dtype="<i4") for d in ("forward", "backward")]
                 index = WordIndex(counts, *ways)
 
                 def likely(words: np.ndarray, lang: str = lang, hashes: np.ndarray | None = hashes) -> np.ndarray:
@@ -209,10 +238,7 @@ def _counted(indexed: DataFrame, length: int, filters: dict[int, PhraseFilter],
                     arrays = [pa.array([lang] * len(phrase), pa.string()), phrase, *map(pa.array, numbers)]
                     yield pa.RecordBatch.from_arrays(arrays, names=["lang", "phrase", *columns])
 
-    needed = ["lang", "names", "counts"]
-    if extensions or length > 1:
-        needed += ["backward"] if length == 2 and not extensions else ["forward", "backward"]
-    rows = indexed.select(*needed).mapInArrow(run, "lang string, phrase string, " + ", ".join(f"{c} long" for c in columns))
+    rows = indexed.select("lang", "file", "ends").mapInArrow(run, "lang string, phrase string, " + ", ".join(f"{c} long" for c in columns))
     # a shard has added up its own; adding up a task's shards before the shuffle would hold them all and save little
     sums = rows.repartition("lang", "phrase").groupBy("lang", "phrase").agg(*[F.sum(c).alias(c) for c in columns])
     return cut_lineage(sums.filter(F.col("f") >= least).withColumn("n_words", F.lit(length)))
@@ -236,10 +262,15 @@ def phrase_counts(
     those that pass the filter of the frequent parts. The filter lets some others pass, which are then counted and left out.
     """
     rows = docs.select(F.coalesce(F.col(lang).cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    indexed = cut_lineage(shards(rows, shard_words))
+    spark = docs.sparkSession
+    root = full_uri(spark, scratch_path(spark, "word-index"))
+    fs, folder = pafs.FileSystem.from_uri(root)
+    fs.create_dir(folder, recursive=True)
+    indexed = cut_lineage(shards(rows, root, shard_words))
+    dealt = indexed.repartition(max(1, -(-indexed.count() // SHARDS_IN_TASK)), "file")
     tables, filters = [], {}
     for length in range(1, words + 1):
-        tables.append(_counted(indexed, length, filters, least, extensions))
+        tables.append(_counted(dealt, root, length, filters, least, extensions))
         if length < words:
             filters[length] = phrase_filter(tables[-1])
     every = tables[0]
