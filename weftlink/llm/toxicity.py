@@ -6,9 +6,11 @@ import bisect
 import heapq
 import math
 import re
+import zlib
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import takewhile
 
 import numpy as np
 import pandas as pd
@@ -41,6 +43,8 @@ WINDOW, QUOTED = 8, 0.35
 MEMO = 500_000
 #: Counts that a task holds before it passes them on.
 HELD_TERMS = 400_000
+#: Bits of the table that tells which terms toxic texts have often enough.
+FILTER_BITS = 1 << 24
 SLICE_BYTES = 2 << 20
 #: Characters of texts whose words are looked up together.
 LOOKED_UP = 1 << 20
@@ -97,6 +101,15 @@ class Lexicon:
         self.swap_sizes = sorted({len(t) for t in self.swapped})
         self.looks = sorted({(p, p + len(s)) for s, at in self.pieces.items() for p in range(at.bit_length()) if at >> p & 1})
 
+        # by place, the terms of each piece: letters to look at, lengths of words, different letters, edits
+        self.places: dict[tuple[int, int], dict[str, list[tuple]]] = {look: {} for look in self.looks}
+        for term, (_, whole) in terms.items():
+            edits, n = distance_allowed(term), len(term)
+            told = (n + edits, n - edits, n + edits if whole else 1 << 30, frozenset(term), edits)
+            cuts = [n * i // (edits + 1) for i in range(edits + 2)]
+            for a, b in zip(cuts, cuts[1:]):  # noqa: B905
+                for place in range(max(0, a - edits), a + edits + 1):
+                    self.places[place, place + b - a].setdefault(term[a:b], []).append(told)
         self.wanted: dict[tuple[int, int], np.ndarray] = {}
         for a, b in self.looks:
             here = sorted({s for s, at in self.pieces.items() if len(s) == b - a and at >> a & 1})
@@ -124,10 +137,11 @@ class Lexicon:
         return [w for w, f in zip(words, found.tolist(), strict=True) if f or w[:SHORTEST] in heads]
 
     def _candidate(self, word: str) -> bool:
-        get = self.pieces.get
-        for a, b in self.looks:
-            if get(word[a:b], 0) >> a & 1:
-                return True
+        """Whether a term has a piece in the word near its place, and lacks no more of its letters there than edits can change."""
+        for (a, b), terms in self.places.items():
+            for reach, least, most, letters, edits in terms.get(word[a:b], ()):
+                if least <= len(word) <= most and len(letters.difference(word[:reach])) <= edits:
+                    return True
         return False
 
     def match(self, word: str) -> tuple[str, int] | None:
@@ -206,12 +220,15 @@ class ToxicityModel:
 
     def hits(self, words: list[str]) -> list[tuple[int, str, int]]:
         """Place, term and edits of each word that meets the lexicon."""
-        left = set(words).difference(self.clear)
-        unknown = left.difference(self.known)
-        if unknown:
-            self.learn(unknown)
-        met = left.intersection(self.known)
-        return [(i, *self.known[w]) for i, w in enumerate(words) if w in met] if met else []
+        self.ready([words])
+        return self.met_in(words)
+
+    def met_in(self, words: list[str]) -> list[tuple[int, str, int]]:
+        """The same for words that have been looked up."""
+        if not self.met.intersection(words):
+            return []
+        known = self.known
+        return [(i, *known[w]) for i, w in enumerate(words) if w in known]
 
     def learn(self, words: set[str]) -> None:
         """Look up words that are not known yet, all at once."""
@@ -226,25 +243,25 @@ class ToxicityModel:
             else:
                 self.clear.add(word)
 
-    def ready(self, texts: list[str]) -> None:
+    def ready(self, texts: list[list[str]]) -> None:
         """Look up the words of some texts together; the memory starts anew when it is full."""
-        words = set().union(*(t.lower().split() for t in texts))
+        words = set().union(*texts)
         if len(self.known) + len(self.clear) + len(words) > MEMO:
             self.known.clear()
             self.clear.clear()
         words = words.difference(self.clear).difference(self.known)
         if words:
             self.learn(words)
+        self.met = set(self.known)  # few of all words
 
-    def features(self, text: str) -> list[float]:
-        """A text as numbers: exact and misspelled hits by weight, the heaviest, their share of the words, its length.
+    def features(self, words: list[str]) -> list[float]:
+        """The words of a text as numbers: exact and misspelled hits by weight, the heaviest, their share of the words, its length.
 
         Each weight counts in full in abuse and little in quotation.
         """
-        words = text.lower().split()
         exact = near = top = 0.0
         n = 0
-        for at, term, edits in self.hits(words):
+        for at, term, edits in self.met_in(words):
             worth = self.terms[term][0] * (QUOTED if quoted(words, at) else 1.0)
             exact, near = (exact + worth, near) if not edits else (exact, near + worth)
             top, n = max(top, worth / (1 + edits)), n + 1
@@ -252,8 +269,9 @@ class ToxicityModel:
         return [math.log1p(exact), math.log1p(near), top, math.sqrt((exact + near) / (size + 10)), math.log1p(n), math.log1p(size)]
 
     def all_features(self, texts: list[str]) -> list[list[float]]:
-        self.ready(texts)
-        return [self.features(t) for t in texts]
+        words = [t.lower().split() for t in texts]
+        self.ready(words)
+        return [self.features(w) for w in words]
 
     def score(self, texts: list[str]) -> np.ndarray:
         x = np.array([f for some in together(texts) for f in self.all_features(some)], dtype=float).reshape(len(texts), -1)
@@ -298,42 +316,45 @@ def beginnings(word: str) -> list[str]:
     return [word[:k] for k in range(SHORTEST, min(len(word), LONGEST) + 1)]
 
 
-def _term_counts(train: DataFrame) -> DataFrame:
-    """``half, term, whole, toxic, clean``: texts that hold each beginning of a word, and each word; all texts at ''."""
+def _counted(texts: DataFrame, often: bytes | None = None) -> DataFrame:
+    """``half, term, whole, n``: texts that hold each beginning of a word, and each word; all texts at ''.
+
+    With a table of bits only terms whose bit is set are counted. A beginning is in at least the texts that longer ones are
+    in, so the first beginning of a word that fails ends its list.
+    """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple[int, int, bool], Counter] = defaultdict(Counter)
+        held: dict[tuple[int, bool], Counter] = defaultdict(Counter)
         bare: dict[str, str] = {}
         starts: dict[str, list[str]] = {}
 
+        def passes(term: str) -> int:
+            bit = zlib.crc32(term.encode("utf-8", "replace")) % FILTER_BITS
+            return often[bit >> 3] >> (bit & 7) & 1
+
         def found() -> Iterator[pa.RecordBatch]:
-            for half, whole in sorted({(h, w) for h, _, w in held}):
-                toxic, clean = held[half, 1, whole], held[half, 0, whole]
-                terms = list(toxic.keys() | clean.keys())
-                arrays = [
-                    pa.array([half] * len(terms), pa.int32()),
-                    pa.array(terms, pa.string()),
-                    pa.array([whole] * len(terms), pa.bool_()),
-                    pa.array([toxic[t] for t in terms], pa.int64()),
-                    pa.array([clean[t] for t in terms], pa.int64()),
-                ]
-                yield pa.RecordBatch.from_arrays(arrays, names=["half", "term", "whole", "toxic", "clean"])
+            for (half, whole), terms in held.items():
+                arrays = [pa.array([half] * len(terms), pa.int32()), pa.array(list(terms), pa.string())]
+                arrays += [pa.array([whole] * len(terms), pa.bool_()), pa.array(list(terms.values()), pa.int64())]
+                yield pa.RecordBatch.from_arrays(arrays, names=["half", "term", "whole", "n"])
             held.clear()
 
         for batch in batches:
             for rows in slices(batch, "text", SLICE_BYTES):
-                values = zip(rows.column("half").to_pylist(), rows.column("toxic").to_pylist(), texts_of(rows, "text"), strict=True)
-                for half, toxic, text in values:
+                for half, text in zip(rows.column("half").to_pylist(), texts_of(rows, "text"), strict=True):
                     tokens = set(text.lower().split())
                     for token in tokens.difference(bare):
-                        bare[token] = word = plain(token)
-                        starts[token] = beginnings(word)
+                        word = plain(token)
+                        begun = beginnings(word)
+                        if often is not None:
+                            begun = list(takewhile(passes, begun))
+                            word = word if word and passes(word) else ""
+                        bare[token], starts[token] = word, begun
                     words = set(map(bare.__getitem__, tokens))
                     words.discard("")
-                    held[half, toxic, True].update(words)
-                    texts = held[half, toxic, False]
-                    texts.update(set().union(*map(starts.__getitem__, tokens)))
-                    texts[""] += 1
+                    held[half, True].update(words)
+                    held[half, False].update(set().union(*map(starts.__getitem__, tokens)))
+                    held[half, False][""] += 1
                 if len(bare) > MEMO:
                     bare.clear()
                     starts.clear()
@@ -341,9 +362,26 @@ def _term_counts(train: DataFrame) -> DataFrame:
                     yield from found()
         yield from found()
 
-    schema = "half int, term string, whole boolean, toxic long, clean long"
-    parts = train.select("half", "toxic", "text").mapInArrow(count, schema)
-    return parts.groupBy("half", "term", "whole").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    parts = texts.select("half", "text").mapInArrow(count, "half int, term string, whole boolean, n long")
+    return parts.groupBy("half", "term", "whole").agg(F.sum("n").alias("n"))
+
+
+def _term_counts(train: DataFrame) -> DataFrame:
+    """``half, term, whole, toxic, clean`` of the terms that toxic texts hold, and of all texts at ''.
+
+    A term needs ``FEWEST`` toxic texts of both halves together. So toxic texts are counted first, and of the clean ones only
+    what may be such a term, by a table of bits of a fixed size; what passes by chance is counted and never chosen.
+    """
+    toxic = cut_lineage(_counted(train.filter("toxic = 1")))
+    enough = toxic.groupBy("term").agg(F.sum("n").alias("n")).filter(F.col("n") >= FEWEST)
+    bit = F.pmod(F.crc32(F.col("term").cast("binary")), F.lit(FILTER_BITS))
+    lanes = enough.select(F.shiftright(bit, 3).alias("at"), (bit % 8).cast("int").alias("b"))
+    lanes = lanes.groupBy("at").agg(F.bit_or(F.expr("shiftleft(1, b)")).alias("bits")).toArrow()
+    bits = np.zeros(FILTER_BITS // 8, dtype=np.uint8)
+    bits[lanes["at"].to_numpy()] = lanes["bits"].to_numpy().astype(np.uint8)
+    clean = _counted(train.filter("toxic = 0"), bits.tobytes()).withColumnRenamed("n", "clean")
+    both = toxic.withColumnRenamed("n", "toxic").join(clean, ["half", "term", "whole"], "left")
+    return both.select("half", "term", "whole", "toxic", F.coalesce("clean", F.lit(0)).alias("clean"))
 
 
 def evidence(toxic: float, clean: float, all_toxic: float, all_clean: float) -> float:
@@ -374,16 +412,20 @@ def _different_contexts(train: DataFrame, terms: frozenset[str]) -> dict[str, in
     """
 
     def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begun: dict[str, list[str]] = {}
         for batch in batches:
             for rows in slices(batch, "text", SLICE_BYTES):
                 seen = set()
                 for text in texts_of(rows, "text"):
                     words = list(map(plain, text.lower().split()))
+                    for w in set(words).difference(begun):
+                        begun[w] = [start for start in beginnings(w) if start in terms]
                     for i, w in enumerate(words):
-                        for start in beginnings(w):
-                            if start in terms:
-                                seen.add((start, False, " ".join(words[max(0, i - 2) : i])))
-                                seen.add((start, True, " ".join(words[i + 1 : i + 3])))
+                        for start in begun[w]:
+                            seen.add((start, False, " ".join(words[max(0, i - 2) : i])))
+                            seen.add((start, True, " ".join(words[i + 1 : i + 3])))
+                    if len(begun) > MEMO:
+                        begun.clear()
                 names = ["term", "after", "words"]
                 yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in seen], t) for k, t in enumerate((pa.string(), pa.bool_(), pa.string()))], names=names)
 
@@ -467,14 +509,21 @@ def learn_lexicon(train: DataFrame, counts: DataFrame) -> ToxicityModel:
 
     starts = {t: c for t, c in starts.items() if holds(t, *c)}
     terms = choose_terms(starts, {r["term"]: r["toxic"] for r in rows if r["whole"]}, all_toxic, all_clean)
-    trial = ToxicityModel(terms)
+    known: dict[str, str | None] = {}
+
+    def exact(word: str) -> str | None:
+        """The heaviest term that the word is or begins with."""
+        if word not in known:
+            if len(known) > MEMO:
+                known.clear()
+            bare = plain(word)
+            held = [bare[:k] for k in range(1, min(len(bare), LONGEST) + 1) if bare[:k] in terms]
+            known[word] = min((t for t in held if t == bare or not terms[t][1]), key=lambda t: (-terms[t][0], t), default=None)
+        return known[word]
 
     def terms_in(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            held = []
-            for some in together(texts_of(batch, "text")):
-                trial.ready(some)
-                held += [sorted({t for _, t, edits in trial.hits(v.lower().split()) if not edits}) for v in some]
+            held = [sorted({t for t in map(exact, set(v.lower().split())) if t}) for v in texts_of(batch, "text")]
             yield pa.RecordBatch.from_arrays([pa.array(held, pa.list_(pa.string()))], names=["terms"])
 
     # one row for each set of terms that occurs
@@ -487,10 +536,10 @@ def learn_lexicon(train: DataFrame, counts: DataFrame) -> ToxicityModel:
             seen: set[str] = set()
             for rows in slices(batch, "text", SLICE_BYTES):
                 values = texts_of(rows, "text")
-                model.ready(values)
-                for value in values:
-                    words = value.lower().split()
-                    seen.update(plain(words[i]) for i, _, edits in model.hits(words) if edits)
+                texts = [v.lower().split() for v in values]
+                model.ready(texts)
+                for words in texts:
+                    seen.update(plain(words[i]) for i, _, edits in model.met_in(words) if edits)
             yield pa.RecordBatch.from_arrays([pa.array(sorted(seen), pa.string())], names=["word"])
 
     clean_texts = train.filter("toxic = 0").select("text")
