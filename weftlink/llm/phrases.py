@@ -13,8 +13,10 @@ from pyspark.sql import functions as F
 
 from weftlink.llm.common import mix64, slices, texts_of
 
-#: Smallest phrase names that a fingerprint keeps; a text with fewer phrases keeps them all.
-KEPT = 64
+#: A fingerprint keeps the phrase names in this share of all numbers, so it grows with its text and passages keep theirs;
+#: of a text with fewer such names it keeps so many of the smallest, or all it has.
+SHARE, KEPT = 1 / 16, 64
+_BOUND = np.uint64(int(2**64 * SHARE))
 #: Levels whose phrases count: those of about six characters and more.
 FIRST_LEVEL = 2
 #: Code points that a task parses at a time, and bytes of text it takes from a batch.
@@ -94,8 +96,9 @@ def phrase_names(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
 
 
 def fingerprints(texts: list[str], kept: int = KEPT, first_level: int = FIRST_LEVEL) -> list[np.ndarray]:
-    """For each text the ``kept`` smallest distinct phrase names of its levels from ``first_level``, ascending.
+    """For each text the distinct phrase names of its levels from ``first_level`` that are kept, ascending.
 
+    These are all within ``SHARE`` of the numbers there are, and the ``kept`` smallest in any case.
     A text whose parsing ends below that level has the name of its last phrase. An empty text has none.
     """
     owners, names, seen = [], [], np.zeros(len(texts), dtype=bool)
@@ -118,11 +121,11 @@ def fingerprints(texts: list[str], kept: int = KEPT, first_level: int = FIRST_LE
     owner, name = np.concatenate(owners), np.concatenate(names)
     total = np.bincount(owner, minlength=len(texts))
     # names are uniform: three times as many as needed lie below this limit; where copies leave too few, all are taken
-    limit = np.where(total > 3 * kept, 3 * kept / np.maximum(total, 1), 1.0) * 2.0**64
+    limit = np.where(total > 3 * kept, np.maximum(3 * kept / np.maximum(total, 1), 1.001 * SHARE), 1.0) * 2.0**64
     below = name.astype(np.float64) <= limit[owner]
     got = _smallest(owner[below], name[below], len(texts), kept)
     for i in np.flatnonzero((np.array([len(g) for g in got]) < kept) & (total > 3 * kept)):
-        got[i] = np.unique(name[owner == i])[:kept]
+        got[i] = np.unique(name[owner == i])[:kept]  # too few names lie below the limit, so none more below the bound
     return got
 
 
@@ -133,16 +136,19 @@ def _smallest(owner: np.ndarray, name: np.ndarray, n: int, kept: int) -> list[np
     new[1:] = (owner[1:] != owner[:-1]) | (name[1:] != name[:-1])
     owner, name = owner[new], name[new]
     ends = np.searchsorted(owner, np.arange(n + 1))
-    return [name[a : min(b, a + kept)] for a, b in zip(ends[:-1], ends[1:], strict=True)]
+    low = np.concatenate([[0], np.cumsum(name < _BOUND)])
+    return [name[a : min(b, a + max(kept, int(low[b] - low[a])))] for a, b in zip(ends[:-1], ends[1:], strict=True)]
 
 
 def likeness(a: np.ndarray, b: np.ndarray, kept: int = KEPT) -> float:
-    """Twice the shared phrases over the phrases of both, estimated from the smallest names of the union."""
+    """Twice the shared phrases over the phrases of both, estimated from the names up to where both fingerprints are whole."""
     if not len(a) and not len(b):
         return 1.0
-    left, right = set(a.tolist()), set(b.tolist())
-    union = sorted(left | right)[:kept]
-    j = len((left & right).intersection(union)) / len(union)
+    reach = min((max(f[-1], _BOUND - np.uint64(1)) for f in (a, b) if len(f) >= kept), default=None)
+    if reach is not None:
+        a, b = a[: np.searchsorted(a, reach, side="right")], b[: np.searchsorted(b, reach, side="right")]
+    shared = len(np.intersect1d(a, b, assume_unique=True))
+    j = shared / max(len(a) + len(b) - shared, 1)
     return 2 * j / (1 + j)
 
 
