@@ -11,23 +11,23 @@ from weftlink.session import cut_lineage
 def with_position(df: DataFrame, order: list[Column | str], name: str = "position") -> DataFrame:
     """1-based position of every row in the order given, which must leave no ties.
 
-    Rows are range-partitioned and numbered inside their range; the ranges' sizes (one row per
+    Rows are range-partitioned, sorted and numbered inside their range in one stage; the ranges' sizes (one row per
     partition) give the offsets. The ranges are materialised first: both uses must see the same cut.
     """
-    ranged = cut_lineage(df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()))
-    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    at, range_, offset = f"_at_{name}", f"_range_{name}", f"_offset_{name}"
+    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    # the number of the partition is in the upper bits, the place inside it in the lower 33
+    ranged = cut_lineage(ranged.withColumn(at, F.monotonically_increasing_id()))
+    ranged = ranged.withColumns({range_: F.shiftright(at, 33), at: F.col(at).bitwiseAND(F.lit((1 << 33) - 1))})
+    before = Window.orderBy(range_).rowsBetween(Window.unboundedPreceding, -1)
     # one row per partition
     offsets = (
-        ranged.groupBy("_range")
+        ranged.groupBy(range_)
         .agg(F.count("*").alias("rows"))
-        .select("_range", F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("_offset"))
-    )
-    inside = Window.partitionBy("_range").orderBy(*order)
-    return (
-        ranged.join(F.broadcast(offsets), "_range")
-        .withColumn(name, F.row_number().over(inside) + F.col("_offset"))
-        .drop("_range", "_offset")
+        .select(range_, F.coalesce(F.sum("rows").over(before), F.lit(0)).alias(offset))
     )
+    placed = ranged.join(F.broadcast(offsets), range_)
+    return placed.withColumn(name, F.col(at) + 1 + F.col(offset)).drop(at, range_, offset)
 
 
 def with_dense_position(df: DataFrame, column: str, name: str, descending: bool = False, collation: str | None = None) -> DataFrame:
