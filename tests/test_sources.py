@@ -67,6 +67,10 @@ def test_sheets_of_different_columns_meet_by_name(spark, tmp_path):
     write_columns(tmp_path / "b.xlsx", ["Text", "More", "ID"], [["two", "m", "2"], ["three"]])
     xlsx.register(spark)
     df = spark.read.format("sheet").option("sheet", "One").load(str(tmp_path / "*.xlsx"))
+    by_spark = xlsx.read_sheet(spark, f"file://{tmp_path}/*.xlsx", "One")
+    assert sorted(map(str, by_spark.select(*df.columns).collect())) == sorted(map(str, df.collect()))
+    with pytest.raises(Exception, match="no sheet 'Two'"):
+        xlsx.read_sheet(spark, f"file://{tmp_path}/*.xlsx", "Two").collect()
     assert df.columns == ["ID", "Text", "More"]
     assert sorted(map(tuple, df.collect()), key=str) == [("1", "one", None), ("2", "two", "m"), (None, "three", None)]
     with pytest.raises(Exception, match="schema lacks: More"):

@@ -1,5 +1,10 @@
 """Library items, DOIs and first-row rules."""
 
+import io
+import zipfile
+from xml.sax.saxutils import escape
+
+import pandas as pd
 from pyspark.sql import functions as F
 
 from weftlink.functions.text import extract_doi, norm_doi
@@ -8,7 +13,9 @@ from weftlink.operators.resolve import corpus_ids_of
 from weftlink.plans.ordering import first_rows
 from weftlink.registry.base import query, table
 from weftlink.registry.citing import DOCS, corpus, known_ids, library_items
+from weftlink.session import cut_lineage
 from weftlink.sources.parquet import partition_values
+from weftlink.sources.xlsx import sheet_rows
 
 
 @query(
@@ -133,3 +140,44 @@ def distinct_on_first(spark, sf_dir):
 @query("partition_values", "SELECT DISTINCT source, lang FROM documents")
 def distinct_partitions(spark, sf_dir):
     return partition_values(table(spark, sf_dir, "documents"), ["source", "lang"])
+
+
+# ---- worksheets ---------------------------------------------------------------------------
+def workbook(columns: list[str], rows: list[list[str | None]]) -> bytes:
+    """A workbook with the sheet ``Parts``, cells as inline text."""
+    name = lambda i: chr(65 + i)
+    cell = lambda i, j, v: f'<c r="{name(i)}{j}" t="inlineStr"><is><t>{escape(v)}</t></is></c>'
+    line = lambda j, row: f'<row r="{j}">' + "".join(cell(i, j, v) for i, v in enumerate(row) if v is not None) + "</row>"
+    body = "".join(line(j, row) for j, row in enumerate([columns, *rows], 1))
+    office = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
+    main = "http://schemas.openxmlformats.org/spreadsheetml/2006/main"
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as book:
+        book.writestr("xl/workbook.xml", f'<workbook xmlns="{main}" xmlns:r="{office}"><sheets><sheet name="Parts" r:id="r1"/></sheets></workbook>')
+        book.writestr("xl/_rels/workbook.xml.rels", '<Relationships><Relationship Id="r1" Target="worksheets/sheet1.xml"/></Relationships>')
+        book.writestr("xl/worksheets/sheet1.xml", f'<worksheet xmlns="{main}"><sheetData>{body}</sheetData></worksheet>')
+    return out.getvalue()
+
+
+def part_books(spark, sf_dir):
+    """A workbook for each brand; every other brand's has no size column, and columns stand in another order."""
+
+    def make(rows: pd.DataFrame) -> pd.DataFrame:
+        brand = rows["p_brand"].iloc[0]
+        columns = ["Key", "Name", "Size"] if int(brand[-1]) % 2 else ["Name", "Key"]
+        source = {"Key": "p_partkey", "Name": "p_name", "Size": "p_size"}
+        cells = rows.sort_values("p_partkey")[[source[c] for c in columns]].astype(str).values.tolist()
+        return pd.DataFrame({"path": [brand], "content": [workbook(columns, cells)]})
+
+    parts = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_size", "p_brand")
+    return parts.groupBy("p_brand").applyInPandas(make, "path string, content binary")
+
+
+@query(
+    "sheet_rows",
+    """SELECT CAST(p_partkey AS VARCHAR) AS "Key", p_name AS "Name",
+      CASE WHEN CAST(right(p_brand, 1) AS INT) % 2 = 1 THEN CAST(p_size AS VARCHAR) END AS "Size" FROM part""",
+)
+def parts_from_sheets(spark, sf_dir):
+    """Parts written into workbooks and read back, with the columns of all of them."""
+    return sheet_rows(cut_lineage(part_books(spark, sf_dir)), "Parts").select("Key", "Name", "Size")
