@@ -102,3 +102,27 @@ def test_prepare_definitions(spark):
     assert definition_meta(prepare_definitions(sheets)).count() == 2
     with pytest.raises(ValueError, match="non-unique"):
         prepare_definitions({"one": sheets["first"], "two": sheets["first"]})
+
+
+def test_config_folder():
+    from weftlink.operators.checks import config_of
+
+    assert config_of("/v/config=a/source=corpus", "/v/config=a/source=keypaper/") == "a"
+    for leaves in (("/v/config=a/source=corpus", "/v/config=b/source=keypaper"), ("/v/x/source=corpus",)):
+        with pytest.raises(ValueError, match="one config folder"):
+            config_of(*leaves)
+
+
+def test_backend_takes_what_the_server_says(monkeypatch):
+    import io
+    import json
+
+    from weftlink.operators import embedding
+
+    asked, said = [], {"model_id": "served/model", "max_client_batch_size": 8}
+    monkeypatch.setattr(embedding.urllib.request, "urlopen", lambda r, timeout: (asked.append(r.full_url), io.BytesIO(json.dumps(said).encode()))[1])
+    backend = embedding.http_backend({"host": "h", "port": 80, "model": "configured", "max_batch_size": 64})
+    served = backend.as_served()
+    assert (served.model, served.request_size, asked) == ("served/model", 8, ["http://h:80/info"])
+    said.clear()
+    assert backend.as_served() == backend

@@ -10,6 +10,15 @@ from pyspark.sql import functions as F
 SHOWN = 5
 
 
+def config_of(*leaves: str) -> str:
+    """The config that folders ``.../config=<name>/...`` belong to; stop when they are not all under one ``config=`` folder."""
+    parents = {leaf.rstrip("/").rpartition("/")[0] for leaf in leaves}
+    names = {p.rpartition("/")[2] for p in parents}
+    if len(parents) != 1 or not next(iter(names)).startswith("config="):
+        raise ValueError(f"not in one config folder: {', '.join(leaves)}")
+    return names.pop().removeprefix("config=")
+
+
 def require_columns(df: DataFrame, columns: Iterable[str]) -> DataFrame:
     missing = [c for c in columns if c not in df.columns]
     if missing:

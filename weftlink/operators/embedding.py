@@ -8,7 +8,7 @@ import time
 import urllib.request
 from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from typing import Protocol
 
 import pandas as pd
@@ -126,12 +126,11 @@ class HttpBackend:
     timeout: float = 120.0
     provider: str = "tei"
 
-    def embed(self, texts: list[str]) -> list[list[float]]:
+    def _ask(self, what: str, body: bytes | None = None):
         headers = {"Content-Type": "application/json"}
         if self.token:
             headers["Authorization"] = f"Bearer {self.token}"
-        body = json.dumps({"inputs": texts}).encode()
-        request = urllib.request.Request(f"{self.scheme}://{self.host}:{self.port}/embed", body, headers)
+        request = urllib.request.Request(f"{self.scheme}://{self.host}:{self.port}/{what}", body, headers)
         for attempt in range(self.retries):
             try:
                 with urllib.request.urlopen(request, timeout=self.timeout) as answer:
@@ -142,6 +141,19 @@ class HttpBackend:
                 time.sleep(2**attempt)
         raise AssertionError("unreachable")
 
+    def embed(self, texts: list[str]) -> list[list[float]]:
+        return self._ask("embed", json.dumps({"inputs": texts}).encode())
+
+    def as_served(self) -> HttpBackend:
+        """This backend under the model that the server says it runs, with no more texts a request than it takes.
+
+        Vectors are kept by model, so a server with another model than the configured one does not pass for it.
+        """
+        info = self._ask("info")
+        most = info.get("max_client_batch_size")
+        size = min(self.request_size, int(most)) if most else self.request_size
+        return replace(self, model=info.get("model_id") or self.model, request_size=size)
+
 
 def http_backend(cfg: dict, token: str | None = None) -> HttpBackend:
     return HttpBackend(

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from weftlink.functions import text as T
 from weftlink.functions.html import clean_abstract, clean_title, finish_clean, html_to_text
 from weftlink.operators.definitions import SheetMap, definition_meta, definition_summary, prepare_definitions
-from weftlink.operators.embedding import HashBackend, embed_texts, title_abstract_text
+from weftlink.operators.embedding import HashBackend, abstract_text, embed_texts, title_abstract_text, title_text
 from weftlink.registry.base import query, table, texts
 
 SPACES = r"[\s\p{Z}]+"
@@ -207,6 +207,16 @@ def title_abstract_texts(spark, sf_dir):
     return title_abstract_text(titled(spark, sf_dir), separator="", title_cap=200).drop("text_hash")
 
 
+@query("title_text", f"WITH {TITLED} SELECT id, title_clean, abstract_clean, title_clean AS text FROM cleaned WHERE title_clean IS NOT NULL")
+def title_texts(spark, sf_dir):
+    return title_text(titled(spark, sf_dir)).drop("text_hash")
+
+
+@query("abstract_text", f"WITH {TITLED} SELECT id, title_clean, abstract_clean, abstract_clean AS text FROM cleaned WHERE abstract_clean IS NOT NULL")
+def abstract_texts(spark, sf_dir):
+    return abstract_text(titled(spark, sf_dir)).drop("text_hash")
+
+
 def _byte_sql(i: int) -> str:
     hexa = "'0123456789abcdef'"
     return (
