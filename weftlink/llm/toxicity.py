@@ -43,6 +43,8 @@ WINDOW, QUOTED = 8, 0.35
 MEMO = 500_000
 #: Counts that a task holds before it passes them on.
 HELD_TERMS = 400_000
+#: Labels, a key and a number each, that are sent to every task at most.
+SENT_LABELS = 500_000
 #: Bits of the table that tells which terms toxic texts have often enough.
 FILTER_BITS = 1 << 24
 SLICE_BYTES = 2 << 20
@@ -555,7 +557,10 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, learn: Column, key: str = "
     deceives; the lexicon itself is that of both. Without both classes no text scores above 0.
     """
     known = labels.filter(F.col(key).isNotNull() & F.col("toxic").isNotNull() & learn)
-    known = known.groupBy(key).agg(F.max("toxic").cast("int").alias("toxic"))
+    known = cut_lineage(known.groupBy(key).agg(F.max("toxic").cast("int").alias("toxic")))
+    # labels of a bounded number go to the texts; more than that, and the texts are shuffled to meet them
+    if known.count() <= SENT_LABELS:
+        known = F.broadcast(known)
     train = docs.select(F.col(key), F.coalesce(F.col(text), F.lit("")).alias("text")).join(known, key)
     train = train.groupBy("text").agg((F.max("toxic") > 0).cast("int").alias("toxic"))
     train = cut_lineage(train.withColumn("half", F.pmod(F.xxhash64("text"), F.lit(2)).cast("int")))
