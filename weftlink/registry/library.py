@@ -42,7 +42,7 @@ def doi_normalise(spark, sf_dir):
     f"""WITH {DOCS},
       corpus AS (SELECT DISTINCT CASE WHEN quality = 1 THEN 'W' ELSE 'zotero:' END || doc_id AS id FROM labels)
     SELECT CAST(n.doc_id AS VARCHAR) AS key, coalesce(w.id, z.id) AS corpus_id
-    FROM named n LEFT JOIN corpus w ON n.lang <> 'de' AND w.id = 'W' || n.doc_id
+    FROM named n LEFT JOIN corpus w ON n.lang <> 'de' AND n.doc_id % 7 <> 0 AND w.id = 'W' || n.doc_id
     LEFT JOIN corpus z ON z.id = 'zotero:' || n.doc_id WHERE coalesce(w.id, z.id) IS NOT NULL""",
 )
 def id_coalesce_lookup(spark, sf_dir):
@@ -106,11 +106,14 @@ def one_item_per_chapter(spark, sf_dir):
 
 @query(
     "json_props_flatten",
-    """SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k, coalesce(json_extract_string(props, '$.missing'), 'none') AS missing
-    FROM events""",
+    """SELECT event_id, CAST(json_extract(p, '$.k') AS BIGINT) AS k, coalesce(json_extract_string(p, '$.missing'), 'none') AS missing
+    FROM (SELECT event_id, CASE WHEN event_id % 3 = 0 THEN replace(props, '}', ', "missing": "of ' || event_id || '"}') ELSE props END AS p FROM events)""",
 )
 def json_props_flatten(spark, sf_dir):
-    parsed = F.from_json("props", "k bigint, missing string")
+    """A field that a third of the rows have, with a default for the others."""
+    more = F.concat(F.lit(', "missing": "of '), "event_id", F.lit('"}'))
+    props = F.when(F.col("event_id") % 3 == 0, F.replace(F.col("props"), F.lit("}"), more)).otherwise(F.col("props"))
+    parsed = F.from_json(props, "k bigint, missing string")
     return (
         table(spark, sf_dir, "events")
         .select("event_id", parsed.alias("p"))
@@ -120,7 +123,9 @@ def json_props_flatten(spark, sf_dir):
 
 @query(
     "ids_by_chapter",
-    "SELECT DISTINCT lang AS chapter, 'W' || doc_id AS id, '10.1234/abc' || doc_id AS doi FROM documents WHERE lang <> 'de'",
+    """SELECT DISTINCT lang AS chapter, unnest(list_filter(['W' || doc_id, CASE WHEN doc_id % 5 = 0 THEN 'X' || doc_id END,
+        CASE WHEN doc_id % 7 = 0 THEN 'V' || doc_id END], lambda i: i IS NOT NULL)) AS id, '10.1234/abc' || doc_id AS doi
+    FROM documents WHERE lang <> 'de'""",
 )
 def ids_per_chapter(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select(F.col("lang").alias("chapter"), F.col("doc_id").cast("string").alias("key"))
