@@ -186,11 +186,13 @@ def test_stream_embeds_arrivals_once(spark, tmp_path):
 
 
 def test_topics(spark):
-    rows = [(str(i), [1.0 + i % 7 / 50, 0.0, 0.1], "red apple") if i % 2 else (str(i), [0.0, 1.0, i % 5 / 50], "blue sky") for i in range(40)]
+    near = lambda i, n: i * n % 101 / 1000
+    red, blue = lambda i: [1.0, near(i, 37), near(i, 53)], lambda i: [near(i, 41), 1.0, near(i, 59)]
+    rows = [(str(i), red(i), "red apple") if i % 2 else (str(i), blue(i), "blue sky") for i in range(40)]
     corpus = spark.createDataFrame(rows, "id string, embedding array<double>, text string")
     keys = corpus.filter("id in ('1', '3')").withColumn("id", F.concat(F.lit("k"), "id"))
     late = spark.createDataFrame([("1", [1.0, 0.0, 0.0]), ("f", [1.0, 0.0, 0.1])], "id string, embedding array<double>")
-    settings = TopicSettings(sample_size=20, min_topic_size=3, min_samples=2, components=2)
+    settings = TopicSettings(sample_size=20, min_topic_size=6, min_samples=2, components=2)
     topics = assign_all(corpus.drop("text"), keys.drop("text"), settings, late)
     assert {r.topic_source: r["count"] for r in topics.groupBy("topic_source").count().collect()} == {
         "embedding": 22, "transferred": 20, "transfer": 1,

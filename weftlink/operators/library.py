@@ -29,8 +29,8 @@ def _creator_name(c: Column) -> Column:
 
 
 def item_rows(items: DataFrame, group_id: str, json: str = "item", pattern: str = CHAPTER_PATTERN) -> DataFrame:
-    """Library items (JSON text) as rows, one per chapter tag, keeping the other input columns."""
-    kept = [c for c in items.columns if c != json]
+    """Library items (JSON text) as rows, one per chapter tag, keeping the other input columns that no field replaces."""
+    kept = [c for c in items.columns if c != json and c not in LIBRARY_COLUMNS]
     data = items.select(*kept, F.from_json(json, ITEM_SCHEMA)["data"].alias("d"))
     names = F.transform("d.creators", _creator_name)
     tags = F.filter(F.transform("d.tags", lambda t: t["tag"]), lambda t: t.isNotNull() & (t != ""))
