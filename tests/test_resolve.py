@@ -114,3 +114,32 @@ def test_resolution(spark):
     ]
     assert tuple(resolution_totals(resolved).first()) == (8, 6, 75.0, 5)
     assert level_counts(cites, "assessment", ["c"]).first().n == 0
+
+
+def test_long_parenthesis_is_held_once(spark):
+    """A parenthesis of many citations is one text of its definition, and resolves as the rows that repeat it do."""
+    from pyspark.sql import functions as F
+
+    from weftlink.operators.resolve import citation_rows, citing_places, extract_citations, resolve_places
+
+    names = ["Kabber" + "abcdefghij"[i // 10] + "abcdefghij"[i % 10] for i in range(100)]
+    group = "(" + "; ".join(f"{n}, 1999" for n in [*names, *names[:9]]) + ")"
+    text = f"Lu (2000) and Lu (2000) {group} Kabber et al. (1999) {group} (1999) (no year)"
+    docs = spark.createDataFrame(
+        [("k", "1", "s", text), ("k", "2", None, None), ("k", None, "s", "Brown (2012)"), ("k", "1", "s", "")],
+        "keyset string, id string, source_id string, abstract_raw string",
+    )
+    places = citing_places(docs)
+    held = places.select(F.length(F.to_json("found")).alias("f"), F.length(F.to_json("places")).alias("p")).fillna(0)
+    assert max(r.f + r.p for r in held.collect()) < 4 * len(text)  # every citation with its text: 100 times that
+    rows = [tuple(r)[1:] for r in extract_citations(docs).collect()]
+    one = [r for r in rows if r[0] == "1"]
+    assert [r[3:] for r in one] == [("lu", 2000, 1), ("kabber", 1999, 2), *[(n.lower(), 1999, i) for i, n in enumerate(names, 3)]]
+    assert [r[2] for r in one] == ["Lu (2000)", "Kabber et al. (1999)", *[group] * 100]
+    assert [r for r in rows if r[0] is None] == [(None, "s", "Brown (2012)", "brown", 2012, 1)]
+    marked = places.withColumns({"assessment": F.lit("a"), "row": F.monotonically_increasing_id()})
+    got = resolve_places(marked, library(spark))
+    cites = extract_citations(docs).withColumn("assessment", F.lit("a"))
+    want = resolve_citations(cites, library(spark)).select(got.columns)
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect())) and got.count() == 103
+    assert citation_rows(places, raw=False).columns == ["keyset", "keypaper_id", "source_id", "place", "author_key", "year", "cite_seq"]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftlink.functions.citations import find_citations
+from weftlink.functions.citations import dated_parentheses, key_of, keys_of_places, narrative_phrases, year_of
 from weftlink.functions.names import reference_key
 from weftlink.functions.text import blank_to_null, norm_doi, trim_ws, year_int
 from weftlink.operators.checks import level_counts
@@ -24,22 +24,46 @@ LED_BY = 12
 NAMES_IN_GROUP = 256
 
 
-def extract_citations(definitions: DataFrame, text: str = "abstract_raw") -> DataFrame:
-    """One row per citation token of each definition, numbered in order from 1."""
-    found = definitions.select("keyset", "id", "source_id", find_citations(F.col(text)).alias("found"))
+def citing_places(definitions: DataFrame, text: str = "abstract_raw") -> DataFrame:
+    """One row per definition: ``places``, the texts that cite, and ``found``, the citations with the number of their place.
+
+    A place's text is held once however many citations it has.
+    """
+    rows = definitions.select(
+        "keyset", "id", "source_id",
+        narrative_phrases(F.col(text)).alias("_narrative"), dated_parentheses(F.col(text)).alias("_groups"),
+    )
+    return rows.select(
+        "keyset", F.col("id").alias("keypaper_id"), "source_id", F.concat("_narrative", "_groups").alias("places"),
+        keys_of_places(F.col("_narrative"), F.col("_groups")).alias("found"),
+    )
+
+
+def citation_rows(places: DataFrame, raw: bool = True) -> DataFrame:
+    """One row per citation of ``citing_places``, numbered in order from 1, with all other columns.
+
+    With ``raw`` it carries the text of its place, made here row by row; without, the number of the place.
+    """
+    own = [c for c in places.columns if c not in ("places", "found")]
+    kept = [*own, "places"] if raw else own
     # the outer form: a plain explode would filter on the array first and parse every text again
-    rows = found.select("keyset", "id", "source_id", F.posexplode_outer("found").alias("pos", "c"))
-    return rows.filter("pos is not null").select(
-        "keyset",
-        F.col("id").alias("keypaper_id"),
-        "source_id",
-        F.col("c.raw").alias("raw_citation"),
-        F.col("c.author_key").alias("author_key"),
-        F.col("c.year").alias("year"),
+    rows = places.select(*kept, F.posexplode_outer("found").alias("pos", "c")).filter("pos is not null")
+    return rows.select(
+        *own,
+        F.get("places", F.col("c.place")).alias("raw_citation") if raw else F.col("c.place").alias("place"),
+        key_of(F.col("c.dated")).alias("author_key"),
+        year_of(F.col("c.dated")).alias("year"),
         (F.col("pos") + 1).alias("cite_seq"),
     )
 
 
+def extract_citations(definitions: DataFrame, text: str = "abstract_raw") -> DataFrame:
+    """One row per citation token of each definition, numbered in order from 1."""
+    return citation_rows(citing_places(definitions, text)).select(
+        "keyset", "keypaper_id", "source_id", "raw_citation", "author_key", "year", "cite_seq"
+    )
+
+
 def assessment_of(keyset: Column, exceptions: dict[str, str], default: str) -> Column:
     """The library a keyset cites: a named exception, else the default one."""
     out = F.lit(default)
@@ -160,7 +184,10 @@ def near_names(
     key = ["assessment", "v"]
     refs = refs.join(crowded, key, "left").withColumn("part", F.coalesce(F.pmod(F.xxhash64("ref_key"), F.col("parts")), F.lit(0)).cast("int"))
     probes = probes.join(crowded, key, "left").withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("parts"), F.lit(1)) - 1)))
-    pairs = probes.drop("parts").join(refs.drop("parts"), [*key, "part"])
+    # dealt by number: these rows are few bytes but meet in many pairs, so tasks merged by their size would do too much
+    tasks = int(cited.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    probes, refs = (rows.drop("parts").repartition(tasks, *key, "part") for rows in (probes, refs))
+    pairs = probes.join(refs, [*key, "part"])
     # a pair meets at several remainders; lengths say at once that most of the others are too far apart
     pairs = pairs.filter(F.abs(F.length("author_key") - F.length("ref_key")) <= distance_cap(F.length("ref_key"), max_distance))
     pairs = pairs.select("assessment", "author_key", "ref_key").distinct()
@@ -220,6 +247,24 @@ def resolve_citations(
     return cites.join(found, key, "left").withColumn("match_pass", F.coalesce("match_pass", F.lit(PASSES[2])))
 
 
+def resolve_places(
+    places: DataFrame,
+    index: DataFrame,
+    max_distance: int = LOOSE_MAX_DISTANCE,
+    year_window: int = LOOSE_YEAR_WINDOW,
+) -> DataFrame:
+    """``resolve_citations`` of stored ``citing_places`` with an ``assessment`` and a ``row`` that no other definition has.
+
+    Citations are resolved and shuffled without the texts of their places, which join at the end, one row per definition.
+    """
+    resolved = resolve_citations(citation_rows(places, raw=False), index, max_distance, year_window)
+    return resolved.join(places.select("row", "places"), "row", "left").select(
+        "assessment", "author_key", "year", "keyset", "keypaper_id", "source_id",
+        F.get("places", F.col("place")).alias("raw_citation"),
+        "cite_seq", "matched_id", "match_score", "match_pass",
+    )
+
+
 def match_summary(resolved: DataFrame) -> DataFrame:
     """Citations per pass, in fixed order, passes without any included."""
     return level_counts(resolved, "match_pass", PASSES)

@@ -26,12 +26,15 @@ from weftlink.functions.names import (
 )
 from weftlink.operators.resolve import (
     assessment_of,
+    citation_rows,
+    citing_places,
     extract_citations,
     loose_matches,
     match_summary,
     reference_index,
     resolution_totals,
     resolve_citations,
+    resolve_places,
     strict_matches,
 )
 from weftlink.registry.base import literal, query, table, texts
@@ -154,9 +157,9 @@ def citations_extracted(spark, sf_dir):
     SELECT keyset, count(*) AS n_citations, count(DISTINCT keypaper_id) AS n_definitions FROM extracted GROUP BY keyset""",
 )
 def citations_per_keyset(spark, sf_dir):
-    return extract_citations(citing_documents(spark, sf_dir)).groupBy("keyset").agg(
-        F.count("*").alias("n_citations"), F.countDistinct("keypaper_id").alias("n_definitions")
-    )
+    places = citing_places(citing_documents(spark, sf_dir))
+    cites = citation_rows(places, raw=False).select("keyset", "keypaper_id")
+    return cites.groupBy("keyset").agg(F.count("*").alias("n_citations"), F.countDistinct("keypaper_id").alias("n_definitions"))
 
 
 STRIPPED = (
@@ -244,10 +247,15 @@ def index(spark, sf_dir):
     )
 
 
-def citations(spark, sf_dir):
+def cited_places(spark, sf_dir, raw=False):
+    """The citations of every document in a stored table, so no pass parses the texts again; the places' texts if asked for."""
     assessment = assessment_of(F.col("keyset"), {"en": "first"}, "second")
-    # a stored table, so no pass parses the texts again
-    return cut_lineage(extract_citations(citing_documents(spark, sf_dir)).withColumn("assessment", assessment))
+    places = citing_places(citing_documents(spark, sf_dir)).withColumn("assessment", assessment)
+    return cut_lineage(places.withColumn("row", F.monotonically_increasing_id()) if raw else places.drop("places"))
+
+
+def citations(spark, sf_dir):
+    return citation_rows(cited_places(spark, sf_dir), raw=False)
 
 
 INDEX = f"""{EXTRACTED},
@@ -315,7 +323,7 @@ def loose_band_fuzzy_match(spark, sf_dir):
 
 @query("resolve_citations", f"WITH {INDEX} SELECT * FROM resolved")
 def resolved_citations(spark, sf_dir):
-    return resolve_citations(citations(spark, sf_dir), index(spark, sf_dir))
+    return resolve_places(cited_places(spark, sf_dir, raw=True), index(spark, sf_dir))
 
 
 @query(
@@ -326,7 +334,7 @@ def resolved_citations(spark, sf_dir):
     LEFT JOIN (SELECT match_pass, count(*) AS n FROM resolved GROUP BY match_pass) USING (match_pass)""",
 )
 def match_summary_levels(spark, sf_dir):
-    return match_summary(resolved_citations(spark, sf_dir))
+    return match_summary(resolve_citations(citations(spark, sf_dir), index(spark, sf_dir)))
 
 
 @query(
@@ -337,4 +345,4 @@ def match_summary_levels(spark, sf_dir):
            count(DISTINCT matched_id) AS n_works FROM resolved""",
 )
 def resolution_total_row(spark, sf_dir):
-    return resolution_totals(resolved_citations(spark, sf_dir))
+    return resolution_totals(resolve_citations(citations(spark, sf_dir), index(spark, sf_dir)))
