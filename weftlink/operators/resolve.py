@@ -172,11 +172,13 @@ def near_names(
     Two names within k edits become equal by deleting k letters at most of each, and so do their first letters. So
     an equi-join on what deletions leave of the first ``LED_BY`` letters finds every such pair; what remains is nearly the whole
     name, so few others meet. A remainder that more than about ``group`` reference names share is split by a hash of
-    the reference name, and the cited names are copied to its parts: no task gets it whole.
+    the reference name, and the cited names are copied to its parts: no task gets it whole. Rows are dealt by number: they
+    are few bytes but make many keys and pairs, so tasks merged by their size would do too much.
     """
-    refs = known.select("assessment", F.col("author_key").alias("ref_key")).distinct()
+    tasks = int(cited.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    refs = known.select("assessment", F.col("author_key").alias("ref_key")).distinct().repartition(tasks, "ref_key")
     refs = refs.select("assessment", "ref_key", F.explode(deletion_keys(F.col("ref_key"), max_distance)).alias("v"))
-    probes = cited.select("assessment", "author_key").distinct()
+    probes = cited.select("assessment", "author_key").distinct().repartition(tasks, "author_key")
     probes = probes.select("assessment", "author_key", F.explode(deletion_keys(F.col("author_key"), max_distance)).alias("v"))
     parts = F.ceil(F.col("n") / group).cast("int")
     crowded = refs.groupBy("assessment", "v").agg(F.count("*").alias("n")).filter(F.col("n") > group)
@@ -184,8 +186,6 @@ def near_names(
     key = ["assessment", "v"]
     refs = refs.join(crowded, key, "left").withColumn("part", F.coalesce(F.pmod(F.xxhash64("ref_key"), F.col("parts")), F.lit(0)).cast("int"))
     probes = probes.join(crowded, key, "left").withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("parts"), F.lit(1)) - 1)))
-    # dealt by number: these rows are few bytes but meet in many pairs, so tasks merged by their size would do too much
-    tasks = int(cited.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     probes, refs = (rows.drop("parts").repartition(tasks, *key, "part") for rows in (probes, refs))
     pairs = probes.join(refs, [*key, "part"])
     # a pair meets at several remainders; lengths say at once that most of the others are too far apart
