@@ -252,3 +252,21 @@ def test_published_cells(spark):
         assert r.border == border and r.face_stage1 == ("bold" if f1 else "plain")
         assert (r.text_percentile, r.text_sim, r.text_jaccard) == (f"{p:.2f}", f"{s:.2f}", f"{j:.2f}")
     assert styled["5.5"].fill == "#B2182B" and styled["2.3"].fill == "#2166AC" and styled["2.3"].text_color == "white"
+
+
+def test_top_places_keep_ties_in_column_order():
+    """The highest positive values of each row, as a stable sort of the whole row picks them."""
+    import numpy as np
+
+    from weftlink.operators.cosine import _top_places
+
+    rng = np.random.default_rng(5)
+    for width in (1, 3, 4, 40):
+        values = rng.integers(-4, 5, (30, width)) / 4
+        values[rng.random(values.shape) < 0.1] = rng.choice([np.nan, -np.inf, np.inf])
+        values[0], values[1] = 1.0, np.nan
+        want = []
+        for i, row in enumerate(values):
+            fit = np.where((row > 0) & (row < np.inf), row, -np.inf)
+            want += [(i, j) for j in np.argsort(-fit, kind="stable")[:3].tolist() if fit[j] > 0]
+        assert list(zip(*(x.tolist() for x in _top_places(values, 3)), strict=True)) == want

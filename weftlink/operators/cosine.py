@@ -54,13 +54,42 @@ def _strings(table: pa.Table, name: str) -> np.ndarray:
     return table.column(name).to_numpy(zero_copy_only=False)
 
 
-def _by_keyset(targets: pa.Table) -> Iterator[tuple[str, np.ndarray]]:
-    """Column positions per keyset, in id order."""
-    ids, keysets = _strings(targets, "id"), _strings(targets, "keyset")
-    order = np.argsort(ids, kind="stable")
-    names, codes = np.unique(keysets.astype(str), return_inverse=True)
-    for code, name in enumerate(names):
-        yield name, order[codes[order] == code]
+def _in_keyset_order(table: pa.Table) -> tuple[pa.Table, list[str], np.ndarray]:
+    """Rows by keyset and id, the keysets' names and where each begins, so a keyset's targets are one run of columns."""
+    ids, keysets = _strings(table, "id"), _strings(table, "keyset").astype(str)
+    names, codes = np.unique(keysets, return_inverse=True)
+    order = np.lexsort((np.argsort(np.argsort(ids, kind="stable"), kind="stable"), codes))
+    begins = np.searchsorted(codes[order], np.arange(len(names)))
+    return table.take(pa.array(order)).combine_chunks(), names.tolist(), begins
+
+
+def _ordered_directions(tiles: Iterator, decimals: int, clamp: bool = False):
+    """``_directions`` with both sides in keyset order: sources, targets, sims, keysets, their begins, and the cells of a
+    row with itself (or a row of the same id), which only a diagonal tile can hold, as ids are dealt to blocks whole."""
+    for left, right in tiles:
+        diagonal = right is left
+        left, names_l, begins_l = _in_keyset_order(left)
+        right, names_r, begins_r = (left, names_l, begins_l) if diagonal else _in_keyset_order(right)
+        sims = _similarities(left, right, decimals, clamp)
+        own = None
+        if diagonal:
+            codes = np.unique(_strings(left, "id"), return_inverse=True)[1]
+            own = codes[:, None] == codes[None, :]
+        yield left, right, sims, names_r, begins_r, own
+        if not diagonal:
+            yield right, left, np.ascontiguousarray(sims.T), names_l, begins_l, None
+
+
+def _top_places(values: np.ndarray, top_n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Row and column of the ``top_n`` highest positive values of each row, ties by column."""
+    fit = np.where((values > 0) & (values < np.inf), values, -np.inf)
+    width = fit.shape[1]
+    least = np.partition(fit, width - top_n, axis=1)[:, width - top_n] if width > top_n else np.full(len(fit), -np.inf)
+    row, column = np.nonzero((fit >= least[:, None]) & (fit > 0))
+    order = np.lexsort((column, -fit[row, column], row))
+    row, column = row[order], column[order]
+    place = np.arange(len(row)) - np.searchsorted(row, row)
+    return row[place < top_n], column[place < top_n]
 
 
 def _vectors(df: DataFrame) -> DataFrame:
@@ -105,23 +134,26 @@ def cosine_profile(
     rows = _vectors(df)
 
     def kernel(tiles):
-        for sources, targets, sims in _directions(tiles, decimals, clamp=self_pairs):
+        for sources, _, sims, names, begins, own in _ordered_directions(tiles, decimals, clamp=self_pairs):
             ids = sources.column("id").combine_chunks()
-            same = _strings(sources, "id")[:, None] == _strings(targets, "id")[None, :]
-            for name, columns in _by_keyset(targets):
-                part, own = sims[:, columns], same[:, columns]
-                if self_pairs:
-                    own = np.zeros_like(own)
-                count = (~own).sum(axis=1)
-                some = count > 0
+            sizes = np.diff(begins, append=sims.shape[1])
+            count, low, high = np.tile(sizes, (len(sims), 1)), sims, sims
+            if own is not None and not self_pairs:
+                count = count - np.add.reduceat(own, begins, axis=1, dtype=np.int64)
+                low, high = np.where(own, np.inf, sims), np.where(own, -np.inf, sims)
+                sims = np.where(own, 0.0, sims)
+            total = np.add.reduceat(sims, begins, axis=1)
+            low, high = np.minimum.reduceat(low, begins, axis=1), np.maximum.reduceat(high, begins, axis=1)
+            for k, name in enumerate(names):
+                some = count[:, k] > 0
                 yield pa.RecordBatch.from_arrays(
                     [
                         ids.filter(pa.array(some)),
-                        pa.array([name] * int(some.sum())),
-                        pa.array(count[some]),
-                        pa.array(np.where(own, 0.0, part).sum(axis=1)[some]),
-                        pa.array(np.where(own, np.inf, part).min(axis=1)[some]),
-                        pa.array(np.where(own, -np.inf, part).max(axis=1)[some]),
+                        pa.array([name] * int(some.sum()), type=pa.string()),
+                        pa.array(count[some, k]),
+                        pa.array(total[some, k]),
+                        pa.array(low[some, k]),
+                        pa.array(high[some, k]),
                     ],
                     names=["id_a", "keyset_b", "n", "total", "low", "high"],
                 )
@@ -152,20 +184,20 @@ def cosine_top_links(df: DataFrame, top_n: int, decimals: int = DECIMALS, block_
     rows = _vectors(df)
 
     def kernel(tiles):
-        for sources, targets, sims in _directions(tiles, decimals):
-            ids_a, ids_b = _strings(sources, "id"), _strings(targets, "id")
+        for sources, targets, sims, names, begins, own in _ordered_directions(tiles, decimals):
+            ids_a, ids_b = sources.column("id").combine_chunks(), targets.column("id").combine_chunks()
             keysets_a = sources.column("keyset").combine_chunks()
-            for name, columns in _by_keyset(targets):
-                part = np.where(ids_a[:, None] == ids_b[columns][None, :], -np.inf, sims[:, columns])
-                # columns are in id order, so a stable sort leaves ties in id order
-                best = np.argsort(-part, axis=1, kind="stable")[:, :top_n]
-                values = np.take_along_axis(part, best, axis=1)
-                a, place = np.nonzero(np.isfinite(values) & (values > 0))
+            for name, start, stop in zip(names, begins.tolist(), [*begins[1:].tolist(), len(ids_b)], strict=True):
+                part = sims[:, start:stop]
+                if own is not None:
+                    part = np.where(own[:, start:stop], -np.inf, part)
+                # columns are in id order, so ties go by id
+                a, b = _top_places(part, top_n)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(ids_a[a], type=pa.string()),
-                        pa.array(ids_b[columns[best[a, place]]], type=pa.string()),
-                        pa.array(values[a, place]),
+                        ids_a.take(pa.array(a)),
+                        ids_b.take(pa.array(b + start)),
+                        pa.array(part[a, b]),
                         keysets_a.take(pa.array(a)),
                         pa.array([name] * len(a), type=pa.string()),
                     ],
