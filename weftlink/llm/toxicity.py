@@ -256,11 +256,13 @@ class ToxicityModel:
             self.learn(words)
         self.met = set(self.known)  # few of all words
 
-    def features(self, words: list[str]) -> list[float]:
-        """The words of a text as numbers: exact and misspelled hits by weight, the heaviest, their share of the words, its length.
+    def features(self, words: list[str] | str) -> list[float]:
+        """The words of a text, or the text itself, as numbers: exact and misspelled hits by weight, the heaviest, their share of the words, its length.
 
         Each weight counts in full in abuse and little in quotation.
         """
+        if isinstance(words, str):
+            return self.all_features([words])[0]
         exact = near = top = 0.0
         n = 0
         for at, term, edits in self.met_in(words):
