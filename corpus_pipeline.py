@@ -9,7 +9,7 @@ from weftlink.llm.language import fit_languages, known_language
 from weftlink.llm.ngram_join import one_of_each_class
 from weftlink.llm.packing import pack_documents
 from weftlink.llm.toxicity import fit_toxicity, without_toxic
-from weftlink.session import cut_lineage
+from weftlink.session import cut_lineage, small_batches
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,6 +35,9 @@ def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 STAGES = [("toxicity", toxicity), ("language", language), ("near_copies", near_copies), ("best_fit_packing", best_fit_packing)]
 
+#: Texts that a Python task gets at a time.
+BATCH_ROWS = 1000
+
 #: Tokens, phrases and fitted models have no form in SQL; tests/llm compares the stages with brute force.
 ORACLE_SQL = None
 
@@ -42,7 +45,8 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for i, (_, stage) in enumerate(STAGES, 1):
-        docs = stage(spark, docs, sf_dir)
-        if i < len(STAGES):
-            docs = cut_lineage(docs)
+        with small_batches(spark, BATCH_ROWS):
+            docs = stage(spark, docs, sf_dir)
+            if i < len(STAGES):
+                docs = cut_lineage(docs)
     return docs

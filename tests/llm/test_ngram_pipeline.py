@@ -165,3 +165,32 @@ def test_run_is_the_stages_in_order(spark):
 def test_stages_take_an_empty_table(spark, name):
     docs = spark.read.parquet(f"{SF}/documents.parquet").limit(0)
     assert dict(corpus_pipeline.STAGES)[name](spark, docs, SF).count() == 0
+
+
+def test_pipeline_batches_are_small_and_the_setting_comes_back(spark):
+    """The jobs of a stage get few rows at a time, also where the stage fails; a smaller setting stays."""
+    import pyarrow as pa
+
+    from weftlink.session import cut_lineage, small_batches
+
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows])], names=["n"])
+
+    rows = spark.range(0, 5000, 1, 1).mapInArrow(sizes, "n long")
+    try:
+        with small_batches(spark, 1000):
+            got = cut_lineage(rows)
+            raise KeyError("a stage fails")
+    except KeyError:
+        assert spark.conf.get(name) == before
+    assert [r.n for r in got.collect()] == [1000] * 5
+    spark.conf.set(name, 300)
+    try:
+        with small_batches(spark, 1000):
+            assert spark.conf.get(name) == "300"
+    finally:
+        spark.conf.set(name, before)
