@@ -1,7 +1,9 @@
+import collections
 import random
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -94,6 +96,38 @@ def brute_jaccard(out):
     }, keysets
 
 
+def test_no_pair_leaves_the_task_that_counts_it(spark):
+    # all share one work: every pair overlaps, and all values but a definition's own tie
+    cites = spark.createDataFrame(
+        [(f"d{i:02}", "AB"[i % 2], w) for i in range(60) for w in ("hub", f"own{i}")], "id string, keyset string, work string"
+    )
+    sets = J.cited_sets(cites, 7)
+    found = J.overlap_answers(sets, top_n=1, decimals=6)
+    assert found.filter("kind = 0").count() <= 60 * 5 and found.filter("kind = 2").count() <= 2 * 60
+    links = {(r.id_a, r.keyset_b): (r.id_b, r.n_shared, r.jaccard) for r in J.jaccard_top_links(sets, 1, found).collect()}
+    assert len(links) == 120
+    for (a, k), got in links.items():
+        first = next(f"d{i:02}" for i in range(60) if "AB"[i % 2] == k and f"d{i:02}" != a)
+        assert got == (first, 1, 1 / 3)
+    assert {r.bin: r.n for r in J.jaccard_histogram(sets, 60, 6, found).collect() if r.n} == {333333: 60 * 59}
+
+
+def test_overlaps_are_counted_whole_across_batches(monkeypatch):
+    monkeypatch.setattr(J, "LAID_OUT", 3)
+    runs = J.ClassRuns(np.array([0]), np.array([4]), np.array([1]), np.array([0]), ["k"])
+    rows = [(c, list(others), asked) for c in range(5) for others, asked in [([c, 4], False), ([c, 3, 4], False), ([4], True)]]
+    schema = pa.schema([("class", pa.int32()), ("others", pa.list_(pa.int32())), ("asked", pa.bool_())])
+    batches = [pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows[i : i + 2]), schema)], schema=schema) for i in range(0, 15, 2)]
+    got, asked = {}, []
+    for p in J._counted(iter(batches), runs):
+        for a, b, n in zip(p.a.tolist(), p.b.tolist(), p.shared.tolist()):
+            assert (a, b) not in got
+            got[a, b] = n
+        asked += [(int(p.a[i]), int(p.b[i])) for i in p.asked]
+    want = collections.Counter((c, o) for c, others, a in rows if not a for o in others)
+    assert got == dict(want) and sorted(asked) == [(c, 4) for c in range(5)]
+
+
 @pytest.mark.parametrize("chunk", [2000, 4])
 def test_jaccard_against_all_pairs(spark, chunk):
     df, out = cites(spark)
