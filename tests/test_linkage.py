@@ -240,6 +240,20 @@ def test_leaf_order_in_rounds(spark):
         assert got == want
 
 
+def test_leaf_order_asks_again_only_where_a_nearest_cluster_merged(spark, monkeypatch):
+    from weftlink.operators import cluster
+
+    rows = [r for i, r in enumerate(vectors(70, 6, 12)) if i != 9]
+    df = spark.createDataFrame(rows, "id string, keyset string, embedding array<double>")
+    asked, plain = [], cluster.nearest
+    monkeypatch.setattr(cluster, "nearest", lambda some, every, n_some, n, *rest: asked.append((n_some, n)) or plain(some, every, n_some, n, *rest))
+    want = brute_order(rows)
+    for local_at in (69, 40):
+        got = [r.id for r in leaf_order(df, 15, 16, local_at).orderBy("position").collect()]
+        assert got == want
+    assert asked[0] == (69, 69) and len(asked) > 1 and all(some < every for some, every in asked[1:])
+
+
 def test_checks(spark, defs):
     part = defs.filter("id < 'd050'")
     assert stale_rows_dropped(defs, part).count() == 50
