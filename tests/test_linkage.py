@@ -254,6 +254,25 @@ def test_leaf_order_asks_again_only_where_a_nearest_cluster_merged(spark, monkey
     assert asked[0] == (69, 69) and len(asked) > 1 and all(some < every for some, every in asked[1:])
 
 
+def test_best_links_of_a_block_while_targets_pass(rows):
+    from weftlink.plans.tiles import stripe_counts
+
+    # a target is copied once a block, so copies stay few where tiles of 1024 rows made 601 of each
+    assert stripe_counts(615_384, 615_384, 16384, 12) == (48, 1)
+    table = pa.table({"id": [r[0] for r in rows], "keyset": [r[1] for r in rows], "embedding": [r[2] for r in rows]})
+    best = C._Best(table.slice(0, 30), 4, 6)
+    for start in (60, 0, 30):
+        best.meet(table.slice(start, 30))
+        best.sort()
+    found, s, got = best.take(), sims(rows), collections.defaultdict(list)
+    for source, name, sim, other in zip(*(found.column(c).to_pylist() for c in ("source", "keyset", "sim", "id"))):
+        got[source, list(best.names)[name]].append((-sim, other))
+    for i in range(30):
+        for name in "ABC":
+            want = sorted((-s[i, j], r[0]) for j, r in enumerate(rows) if r[1] == name and j != i and s[i, j] > 0)[:4]
+            assert np.allclose([w[0] for w in want], [g[0] for g in got[i, name]]) and [w[1] for w in want] == [g[1] for g in got[i, name]]
+
+
 def test_checks(spark, defs):
     part = defs.filter("id < 'd050'")
     assert stale_rows_dropped(defs, part).count() == 50
