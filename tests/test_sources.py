@@ -1,14 +1,17 @@
+import collections
 import json
+import math
 import os
 import urllib.parse
 import zipfile
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from weftlink.config import load_settings
 from weftlink.operators.definitions import SheetMap
-from weftlink.operators.embedding import HashBackend, embed_works, http_backend, leaf_path, variant_preprocessor
+from weftlink.operators.embedding import HashBackend, embed_works, http_backend, leaf_path, title_abstract_text, variant_preprocessor
 from weftlink.operators.figures import cell_style
 from weftlink.operators.library import item_rows, one_per_chapter
 from weftlink.operators.topics import TopicSettings, assign_all, topic_info, topic_terms, top_words
@@ -249,3 +252,41 @@ def test_topics_are_fitted_on_all_rows(spark):
     got = topic_assignment(spark, sf)
     assert {r.topic_source for r in got.select("topic_source").distinct().collect()} == {"embedding"}
     assert got.count() == spark.read.parquet(f"{sf}/embeddings.parquet").count()
+
+
+def test_terms_are_counted_in_tasks(spark, monkeypatch):
+    """Counts of a word come from many rows, tasks and pieces; only buckets of them are shuffled, and nothing counted is joined."""
+    from weftlink.operators import topics
+
+    texts = [(i % 3, f"w{i % 7} x{i % 5} w{i % 7} Ünal") for i in range(40)] + [(None, "w1 x1"), (1, None), (2, ""), (0, "a lone")]
+    docs = spark.createDataFrame(texts, "topic_id long, text string").repartition(3)
+    grams = collections.Counter()
+    for topic, text in texts:
+        words = [w for w in (text or "").lower().split() if len(w) > 1 and w != "w0"]
+        grams.update((topic, " ".join(words[i : i + n])) for n in (1, 2) for i in range(len(words) - n + 1))
+    df, f = collections.Counter(w for _, w in grams), collections.Counter()
+    for (_, word), n in grams.items():
+        f[word] += n
+    kept = {k: n for k, n in grams.items() if 2 <= df[k[1]] <= 0.9 * 3}
+    size = collections.Counter()
+    for (topic, _), n in kept.items():
+        size[topic] += n
+    mean = sum(size.values()) / len(size)
+    want = {(t, w): (n, round(n / size[t] * math.log(1 + mean / f[w]), 9)) for (t, w), n in kept.items() if t is not None}
+    for held in (4_000_000, 5):  # 5: texts are cut within runs, counts come in many pieces
+        monkeypatch.setattr(topics, "RUNS_HELD", held)
+        got = topic_terms(docs, ["w0"], (1, 2), 2, 0.9)
+        assert {(r.topic_id, r.word): (r.n, round(r.weight, 9)) for r in got.collect()} == want
+    words = pa.array(["x", "ab", "", "x", "ab", "é"])
+    assert [*topics.buckets_of(words.slice(1))] == [*topics.buckets_of(words)][1:]
+    counted = topics.run_counter((1, 2))(iter([pa.record_batch({"topic_id": [1, 2], "words": [["a", "b", "a"], ["c"]]})]))
+    rows = [r for b in counted for x in b.to_pylist() for r in zip(x["topic_id"], x["word"], x["n"], strict=True)]
+    assert sorted(rows) == [(1, "a", 2), (1, "a b", 1), (1, "b", 1), (1, "b a", 1), (2, "c", 1)]
+
+
+def test_texts_are_cleaned_once(spark):
+    rows = [("1", "T <b>x</b>", "Abstract: $a$ &amp; \\emph{b}"), ("2", "T", " "), ("3", None, "one")]
+    texts = title_abstract_text(spark.createDataFrame(rows, "id string, title string, abstract string"))
+    assert [tuple(r)[:4] for r in texts.collect()] == [("1", "T x", "a & b", "T x [SEP] a & b")]
+    plan = texts._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("abstract|summary") == 1 and plan.count("html_to_text") == 2

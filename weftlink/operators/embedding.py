@@ -39,9 +39,10 @@ EMBEDDING_SCHEMA = (
 # ---- texts --------------------------------------------------------------------------------
 def cleaned(df: DataFrame) -> DataFrame:
     require_columns(df, ["id", "title", "abstract"])
-    return df.withColumns(
-        {"title_clean": clean_title(F.col("title")), "abstract_clean": clean_abstract(F.col("abstract"))}
-    )
+    parts = {"title_clean": clean_title(F.col("title")), "abstract_clean": clean_abstract(F.col("abstract"))}
+    # passed on as a generated row: a filter on the parts would else be pushed below them and clean every text again
+    rest = [c for c in df.columns if c not in parts]
+    return df.withColumns(parts).select(*rest, F.inline(F.array(F.struct(*parts))))
 
 
 def _texts(df: DataFrame, text) -> DataFrame:
