@@ -143,3 +143,32 @@ def test_long_parenthesis_is_held_once(spark):
     want = resolve_citations(cites, library(spark)).select(got.columns)
     assert sorted(map(str, got.collect())) == sorted(map(str, want.collect())) and got.count() == 103
     assert citation_rows(places, raw=False).columns == ["keyset", "keypaper_id", "source_id", "place", "author_key", "year", "cite_seq"]
+
+
+def test_long_runs_of_particles_and_names(spark):
+    """A text that repeats a particle, a name or a qualifier thousands of times is matched without recursion."""
+    from pyspark.sql import functions as F
+
+    from weftlink.functions.citations import NARRATIVE, find_citations, narrative_pattern
+    from weftlink.functions.names import ONLY_PARTICLES, RUN_ALONE, RUN_WITH_SURNAME, SURNAME_WITH_PARTICLES, leading_qualifiers, surname_key
+
+    n = 5000
+    texts = ["de " * n + "Haan (2004) and (" + "see also " * n + "Kabeer, 1999)", "Haan and " * n + "Kabeer (2001)", "la " * n]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = rows.select(F.transform(find_citations(F.col("t")), lambda c: F.struct(c["author_key"], c["year"])), surname_key(F.col("t"))).collect()
+    # the narrative names, then the parenthesis
+    assert [(r[0], r[1]) for r in got[0][0]] == [("de" * n + "haan", 2004), ("kabeer", 1999)]
+    assert [(r[0], r[1]) for r in got[1][0]] == [("haan", 2001)]
+    assert got[2][0] == [] and got[2][1] == "la" * n + "na"
+
+    rng = random.Random(4)
+    parts = ["de", "della", "al", "van", "Haan", "O'Brien", "X", "and", "&", "et al.", "et al", "see", "cf.", "(2004)", "(1999", ",", "x"]
+    some = ["".join(rng.choice(parts) + rng.choice([" ", " ", " ", "  ", "", "\n"]) for _ in range(rng.randint(1, 12))) for _ in range(3000)]
+    pairs = [
+        (narrative_pattern(), NARRATIVE), (SURNAME_WITH_PARTICLES, RUN_WITH_SURNAME), (ONLY_PARTICLES, RUN_ALONE),
+        (leading_qualifiers(), leading_qualifiers(again="*+")),
+    ]
+    rows = spark.createDataFrame([(t,) for t in some], "t string")
+    for old, new in pairs:
+        differ = F.regexp_extract_all("t", F.lit(old), F.lit(0)) != F.regexp_extract_all("t", F.lit(new), F.lit(0))
+        assert rows.filter(differ).count() == 0

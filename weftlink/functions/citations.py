@@ -15,18 +15,21 @@ YEAR_PARENTHESIS = rf"\([^()]*{YEAR}[^()]*\)"
 # -------------------------------------------------------------------------------------------
 
 
-def narrative_pattern(lead: str = "", repeat: str = "+") -> str:
+def narrative_pattern(lead: str = "", repeat: str = "+", again: str = "*") -> str:
     """Capitalised names, joined by &, and or et al, before a parenthesised year.
 
-    ``lead`` and ``repeat`` do not change what matches, only how fast other places are given up.
+    ``lead``, ``repeat`` and ``again`` do not change what matches, only how fast other places are given up and how much
+    stack a run of particles or of names takes.
     """
-    name = rf"(?:(?:{PARTICLE_ALTERNATIVES})\s+)*[A-Z][A-Za-z'’.-]{repeat}"
-    joined = rf"{name}(?:\s+(?:et\s+al\.?|&|and)\s+{name})*(?:\s+et\s+al\.?)?"
+    name = rf"(?:(?:{PARTICLE_ALTERNATIVES})\s+){again}[A-Z][A-Za-z'’.-]{repeat}"
+    joined = rf"{name}(?:\s+(?:et\s+al\.?|&|and)\s+{name}){again}(?:\s+et\s+al\.?)?"
     return rf"{lead}({joined})\s*\(\s*{YEAR}\s*\)"
 
 
-# A match starts with a capital or with the first letter of a particle, and a name is never cut short.
-NARRATIVE = narrative_pattern(lead="(?=[A-Z" + "".join(sorted({p[0] for p in PARTICLES})) + "])", repeat="++")
+# A match starts with a capital or with the first letter of a particle, and a name is never cut short. Neither is a run of
+# particles or names: what is given back starts with none of what must follow. Java takes such runs in a loop, others by
+# recursion, and a text that repeats a particle some thousand times ends an executor.
+NARRATIVE = narrative_pattern(lead="(?=[A-Z" + "".join(sorted({p[0] for p in PARTICLES})) + "])", repeat="++", again="*+")
 
 
 def _dated_key(key: Column, year: Column) -> Column:

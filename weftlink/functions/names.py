@@ -45,13 +45,17 @@ PARTICLE_ALTERNATIVES = "|".join(PARTICLES)
 ASCII_BOUNDARY = r"(?:(?<=\w)(?!\w)|(?<!\w)(?=\w))"  # \b also counts accented letters in Java
 
 
-def leading_qualifiers(boundary: str = ASCII_BOUNDARY) -> str:
-    return r"(?i)^(?:[\s.,:;]+|(?:" + "|".join(QUALIFIERS) + rf"){boundary})*"
+def leading_qualifiers(boundary: str = ASCII_BOUNDARY, again: str = "*") -> str:
+    return r"(?i)^(?:[\s.,:;]+|(?:" + "|".join(QUALIFIERS) + rf"){boundary})" + again
 
 
 AFTER_FIRST_AUTHOR = r"(?s)\s*(?:&|,| and | et al\.?).*$"
 SURNAME_WITH_PARTICLES = rf"(?i)^(?:(?:{PARTICLE_ALTERNATIVES})\s)*\S+"
 ONLY_PARTICLES = rf"(?i)^(?:(?:{PARTICLE_ALTERNATIVES})\s)*(?:{PARTICLE_ALTERNATIVES})$"
+# the same for Java, where a run that may be given back takes a piece of stack for each particle
+_PARTICLE_RUN = rf"(?i)^(?:(?:{PARTICLE_ALTERNATIVES})\s(?=\S))*+"
+RUN_WITH_SURNAME = rf"{_PARTICLE_RUN}\S+"
+RUN_ALONE = rf"{_PARTICLE_RUN}(?:{PARTICLE_ALTERNATIVES})$"
 
 
 def fold_ascii(c: Column) -> Column:
@@ -67,7 +71,7 @@ def author_key(c: Column) -> Column:
 
 
 def strip_qualifiers(c: Column) -> Column:
-    return F.regexp_replace(c, leading_qualifiers(), "")
+    return F.regexp_replace(c, leading_qualifiers(again="*+"), "")
 
 
 def name_tokens(c: Column) -> Column:
@@ -85,8 +89,8 @@ def _surname(tokens: Column) -> Column:
 
 def _key_of_surname(name: Column) -> Column:
     # particles with no name behind them get the text of a missing value, as the source data has it
-    head = F.when(name.rlike(ONLY_PARTICLES), F.concat(name, F.lit(" na"))).otherwise(
-        F.regexp_extract(name, SURNAME_WITH_PARTICLES, 0)
+    head = F.when(name.rlike(RUN_ALONE), F.concat(name, F.lit(" na"))).otherwise(
+        F.regexp_extract(name, RUN_WITH_SURNAME, 0)
     )
     return blank_to_null(author_key(head))
 
