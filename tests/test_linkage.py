@@ -337,3 +337,73 @@ def test_top_places_keep_ties_in_column_order():
             fit = np.where((row > 0) & (row < np.inf), row, -np.inf)
             want += [(i, j) for j in np.argsort(-fit, kind="stable")[:3].tolist() if fit[j] > 0]
         assert list(zip(*(x.tolist() for x in _top_places(values, 3)), strict=True)) == want
+
+
+def test_profile_and_histogram_in_blocks(defs, rows, monkeypatch):
+    """Blocks and slices of any size give the same numbers, also when a task passes on what it holds."""
+    whole = {(r.id_a, r.keyset_b): r for r in C.cosine_profile(defs, 6).collect()}
+    bins = {r.bin: r.n for r in C.cosine_histogram(defs, 6).collect()}
+    monkeypatch.setattr(C, "ROOM", 64)
+    monkeypatch.setattr(C, "MOST_HELD", 100)
+    monkeypatch.setattr(C, "SLICE", 7)
+    names = sorted({r[1] for r in rows})
+    table = pa.table({"id": [r[0] for r in rows], "keyset": [r[1] for r in rows], "embedding": [r[2] for r in rows]})
+    for self_pairs in (False, True):
+        profile = C._Profile(table, 6, self_pairs)
+        batches = [b for part in table.to_batches(40) for b in profile.meet(pa.Table.from_batches([part]))] + [*profile.take()]
+        got = pa.Table.from_batches(batches).group_by(["id_a", "keyset_b"]).aggregate([("n", "sum"), ("total", "sum"), ("low", "min"), ("high", "max")])
+        assert got.num_rows == len(rows) * len(names)
+        if not self_pairs:
+            for r in got.to_pylist():
+                w = whole[r["id_a"], r["keyset_b"]]
+                assert (r["n_sum"], r["low_min"], r["high_max"]) == (w.n_edges, w.min_sim, w.max_sim)
+                assert abs(r["total_sum"] - w.sum_sim) < 1e-9
+    assert {r.bin: r.n for r in C.cosine_histogram(defs, 6, block_rows=16).collect()} == bins
+
+
+def test_few_copies_of_large_tables():
+    from weftlink.plans.tiles import block_count, roomy_block, stripe_counts
+
+    # 600,000 vectors of 64 numbers on 8 cores: a vector is copied to some ten tiles, not to hundreds
+    assert block_count(600_000, roomy_block(600_000, 64, 8), 8) <= 10
+    assert sum(stripe_counts(600_000, 600_000, 65536, 8, small_answers=True)) <= 14
+    assert roomy_block(600_000, 768, 8) == (1 << 22) // 768
+
+
+def test_cosine_of_pairs_carries_no_vectors(spark, defs, rows):
+    """Repeated ids multiply, unknown ones drop out, and a missing vector has no similarity; other columns stay."""
+    from pyspark.sql import functions as F
+
+    from weftlink.operators.cosine import cosine_of_pairs
+
+    want = sims(rows)
+    odd = spark.createDataFrame([("twice", "k", [1.0, 0.0, 0.0, 0.0, 0.0])] * 2 + [("none", "k", None), ("short", "k", [1.0]), (None, "k", [1.0])], defs.schema)
+    every = defs.unionByName(odd)
+    a, b = rows[0][0], rows[1][0]
+    asked = [(a, b, 1), (b, a, 2), (a, "twice", 3), ("twice", "twice", 4), (a, "none", 5), (a, "short", 6), ("gone", a, 7), (None, a, 8)]
+    pairs = spark.createDataFrame(asked, "id_a string, id_b string, tag int")
+    out = cosine_of_pairs(pairs, every, 6)
+    assert "Join" not in out._jdf.queryExecution().executedPlan().toString()
+    got = [tuple(r) for r in out.select("tag", "sim").orderBy("tag").collect()]
+    assert [t for t, _ in got] == [1, 2, 3, 3, 4, 4, 4, 4, 5, 6]
+    found = {t: s for t, s in got}
+    assert abs(found[1] - want[0, 1]) < 1e-6 and found[1] == found[2] and found[4] == 1.0 and found[5] is None and found[6] is None
+
+
+def test_ranked_grid_joins_no_cells(spark, defs):
+    """Cells are made where their vectors and overlaps meet; blocks of any size give the same cells."""
+    from weftlink.operators import links as L
+
+    made = []
+    cut = L.cut_lineage
+    try:
+        L.cut_lineage = lambda df: made.append(cut(df)) or made[-1]
+        grids = []
+        for block, cells in ((2048, 1 << 18), (64, 100)):
+            L.RANKED_BLOCK, L.CELLS = block, cells
+            grid = L.grid_percentiles(defs, cites(spark)[0], meta_of(defs), defs.select("id"), defs.select("id"))
+            grids.append(sorted(tuple(r) for r in grid.collect()))
+    finally:
+        L.cut_lineage, L.RANKED_BLOCK, L.CELLS = cut, 2048, 1 << 18
+    assert len(grids[0]) == 90 * 90 and grids[0] == grids[1]
+    assert max(df.count() for df in made) == 90  # the sides are stored, no cells
