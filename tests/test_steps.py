@@ -104,3 +104,29 @@ def test_sources_by_part_and_bad_graphs(spark, tmp_path):
         StepGraph(spark, "r", [step("a", "x")])
     with pytest.raises(ValueError, match="one name"):
         StepGraph(spark, "r", [step("a"), step("a")])
+
+
+def test_partitions_store_texts_once(spark, tmp_path, monkeypatch):
+    """Repeats, new and lost rows are told by keys: texts are stored once a run and shuffled only where some of them are new."""
+    from weftlink.operators import embedding as E
+
+    rows = [(f"i{k}", f"T {k}", f"text {k} " * 3, "ab"[k % 2]) for k in range(20)]
+    schema = "id string, title string, abstract string, part string"
+    stored, cut = [], E.cut_lineage
+    monkeypatch.setattr(E, "cut_lineage", lambda df: stored.append(df) or cut(df))
+
+    def run(rows):
+        stored.clear()
+        return E.embed_partitions(spark.createDataFrame(rows, schema), "part", str(tmp_path), "corpus", "test", "title_abstract", E.HashBackend())
+
+    leaf = E.leaf_path(str(tmp_path), "test", "corpus", "title_abstract")
+    assert run(rows + rows[:5]) == 20  # repeats count once
+    assert sum("text" in df.columns for df in stored) == 1
+    assert "Exchange" not in next(df for df in stored if "text" in df.columns)._jdf.queryExecution().executedPlan().toString()
+    assert run(rows) == 0
+    assert run([*rows, ("i20", "T", "new", "b"), ("i1", "T 1", "edited", "b")]) == 2
+    half = cut(spark.read.parquet(leaf).filter("part = 'a' and xxhash64(id) % 2 = 0"))
+    assert 0 < half.count() < 10
+    half.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("part").parquet(leaf)
+    assert run(rows) == 10  # all of the damaged partition
+    assert spark.read.parquet(leaf).select("id", "part").distinct().count() == 21

@@ -310,6 +310,17 @@ def _stored_by(spark: SparkSession, path: str, by: str) -> DataFrame | None:
         raise
 
 
+#: Partitions that are asked for by name.
+NAMED = 1000
+
+
+def _rows_of(texts: DataFrame, todo: DataFrame) -> DataFrame:
+    """The texts whose ``row`` is listed; those of other partitions are left out before the join where the partitions are few."""
+    names = [r.partition for r in todo.select("partition").distinct().limit(NAMED + 1).collect()]
+    near = texts.filter(F.col("partition").isin(names)) if len(names) <= NAMED else texts
+    return near.join(todo.select("row"), "row", "left_semi")
+
+
 def embed_partitions(
     works: DataFrame,
     by: str,
@@ -335,23 +346,25 @@ def embed_partitions(
     # an id in two partitions is embedded in both
     parts = works.select(F.concat_ws("\u0000", F.coalesce(F.col(by).cast("string"), F.lit(NO_VALUE)), "id").alias("id"), "title", "abstract")
     texts = prepare(parts).withColumn("partition", F.substring_index("id", "\u0000", 1))
-    texts = cut_lineage(texts.withColumn("id", F.expr("substring(id, length(partition) + 2)")).dropDuplicates(["partition", "id", "text_hash"]))
+    # stored as they come: which of them are repeats, new or lost is told by their keys, so texts are not shuffled for that
+    texts = cut_lineage(texts.withColumns({"id": F.expr("substring(id, length(partition) + 2)"), "row": F.monotonically_increasing_id()}))
+    key = ["partition", "id", "text_hash"]
+    keys = cut_lineage(texts.groupBy(*key).agg(F.min("row").alias("row")))
 
     broken = cut_lineage(damaged_partitions(spark, path, by))
     stored = _stored_by(spark, path, by)
     if stored is not None and not broken.isEmpty():
         drop_partitions(broken.select(F.col("partition").alias(by)), path, [by])
         stored = _stored_by(spark, path, by)
-    key = ["partition", "id", "text_hash"]
-    todo = texts
+    todo = keys
     if stored is not None:
         held = _made_by(stored, backend).withColumn("partition", F.coalesce(F.col(by), F.lit(NO_VALUE)))
-        todo = texts.join(held.select(*key), key, "left_anti")
-    todo = cut_lineage(todo)
+        todo = cut_lineage(keys.join(held.select(*key), key, "left_anti"))
     n = todo.count()
     if n:
         where = F.when(F.col("partition") != NO_VALUE, F.col("partition"))
-        keyed = todo.select(F.concat_ws("\u0000", "partition", "id").alias("id"), "text_hash", "text", "title_clean", "abstract_clean")
+        waiting = _rows_of(texts, todo) if n < texts.count() else texts
+        keyed = waiting.select(F.concat_ws("\u0000", "partition", "id").alias("id"), "text_hash", "text", "title_clean", "abstract_clean")
         seen = Observation("written")
         vectors = embed_texts(keyed, backend, save_text).withColumn("partition", F.substring_index("id", "\u0000", 1))
         vectors = vectors.withColumns({"id": F.expr("substring(id, length(partition) + 2)"), by: where}).drop("partition")
@@ -362,7 +375,7 @@ def embed_partitions(
     if stored is None:
         return n
     held = _made_by(stored, backend).withColumn("partition", F.coalesce(F.col(by), F.lit(NO_VALUE))).select(*key)
-    lost = texts.join(held, key, "left_anti").count()
+    lost = keys.join(held, key, "left_anti").count()
     if lost:
         raise ValueError(f"{path}: {lost} current texts without a vector")
     if n or not broken.isEmpty():

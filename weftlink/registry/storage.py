@@ -140,7 +140,7 @@ def damaged_leaf_again(spark, sf_dir):
     """Embed documents by language, lose some French vectors: the next run embeds all French texts again, and no others."""
     docs = titled(spark, sf_dir)
     langs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("id"), "lang")
-    works = docs.join(langs, "id")
+    works = cut_lineage(docs.join(langs, "id"))  # read by every run
     root = scratch_path(spark, "leaves")
     run = lambda model: embed_partitions(works, "lang", root, "corpus", "test", "title_abstract", HashBackend(model))
     leaf = leaf_path(root, "test", "corpus", "title_abstract")
